@@ -1,0 +1,4 @@
+"""Registered queries over the driver tables, with the SQL that checks them."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
