@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 BEHIND, AHEAD = 2, 5
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 on the column's own clock, with or without time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def latest_wins(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """The newest event of each key: one combining aggregation, no window."""
     newest = F.max_by(F.struct(*columns), F.struct(*order))
@@ -36,7 +41,7 @@ def drop_stale(events: DataFrame, key: str, generation: str, order: list[str]) -
 def debounce(events: DataFrame, key: str, ts: str, order: list[str], quiet_ms: int) -> DataFrame:
     """Events after which nothing of the key follows for ``quiet_ms``: what a debounced writer commits."""
     w = Window.partitionBy(key).orderBy(*order)
-    gap = (F.unix_micros(F.lead(ts).over(w)) - F.unix_micros(F.col(ts))) / 1000
+    gap = (micros(F.lead(ts).over(w)) - micros(F.col(ts))) / 1000
     return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= quiet_ms)).drop("_gap")
 
 
@@ -52,7 +57,7 @@ def running_total(rows: DataFrame, order: list[str], value: str, buckets: int =
     """A running sum over one global order without one task for all rows: rows are cut into ranges of the leading order column, the
     ranges' totals (``buckets`` rows) are accumulated, and each range adds its base."""
     lead = order[0]
-    number = F.unix_micros(lead) if dict(rows.dtypes)[lead] == "timestamp" else F.col(lead)
+    number = micros(F.col(lead)) if dict(rows.dtypes)[lead].startswith("timestamp") else F.col(lead)
     cuts = rows.select(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()[0] or []
     b = F.lit(0)
     for c in sorted(set(cuts)):

@@ -1,4 +1,5 @@
 """Registered queries over the driver tables, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .bindings import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
