@@ -31,7 +31,7 @@ class Scratch:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -42,9 +42,12 @@ class Scratch:
     def free_shuffles(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
         import gc
+        import time
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first collection lets go of, the second one finds
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def crc_fold(column: str, folds: int):
