@@ -8,8 +8,8 @@ Jaccard similarity with concentration bounds.  The t = BANDS * ROWS coordinates
 Links: documents with equal shingle sets are one class (represented by the smallest id).  Representatives that share a
 band are candidates; every link is confirmed on full shingle sets.  A bucket first links its members to its smallest id;
 buckets whose members are then still in different components are linked to a second, hashed member; what remains is
-compared pair by pair across components, so no candidate of a bucket is dropped while a group of copies costs one pair
-for each copy.
+compared across components in blocks (``closing``), so no candidate of a bucket is dropped while a group of copies costs
+one pair for each copy.
 
 Defined cases: null texts and texts without a word have no shingles and link with nothing; a null id is kept by itself;
 repeated rows are one class; an empty table gives an empty result; other columns are passed through by ``dedup``.
@@ -29,6 +29,7 @@ from . import _text as X
 
 BANDS, ROWS = 50, 6
 PERCENT = 80
+BLOCK = 2048
 WORDS = 5
 _SEEDS = X.mix(np.arange(1, 2 * 4096 + 1, dtype=np.uint64) * X.U(0xD1342543DE82EF95))
 
@@ -116,6 +117,60 @@ def components(edges: DataFrame, scratch: S.Scratch) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def closing(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members of different components of each group (lead, rep, n, c).
+
+    The largest component of a group is its body; the others are queries, compared with all members in blocks of at
+    most ``block`` queries and members.  No pair becomes a row: a block returns one link for each query and component."""
+    by = rows.groupBy("lead", "c").agg(F.count("*").alias("k"))
+    body = by.groupBy("lead").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("body"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("several")).where("several > 1")
+    told = rows.join(body, "lead").withColumn("across", F.ceil((F.col("all") - F.col("most")) / block).cast("int")).withColumn("down", F.ceil(F.col("all") / block).cast("int"))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    members = told.select("lead", "rep", "c", F.lit(False).alias("query"), spot(F.col("down")).alias("d"), every(F.col("across")).alias("x"))
+    queries = told.where("c <> body").select("lead", "rep", "c", F.lit(True).alias("query"), spot(F.col("across")).alias("x"), every(F.col("down")).alias("d"))
+    held = members.unionByName(queries).join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep").select("lead", "x", "d", "query", "rep", "c", "items")
+
+    def compare(group):
+        body = [r for r in group if not r[0]]
+        if not body:
+            return
+        size = np.array([len(r[3]) for r in body])
+        owner = np.repeat(np.arange(len(body)), size)
+        items = np.concatenate([r[3] for r in body])
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order]
+        comp = np.array([r[2] for r in body])
+        for _, rep, c, own in (r for r in group if r[0]):
+            lo, hi = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
+            common = np.bincount(owner[at], minlength=len(body))
+            good = np.flatnonzero((100 * common >= percent * (size + len(own) - common)) & (comp != c))
+            _, first = np.unique(comp[good], return_index=True)
+            for k in good[first]:
+                yield rep, body[k][1]
+
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            cols = [batch.column(x).to_pylist() for x in ("lead", "x", "d", "query", "rep", "c")]
+            for i, (lead, x, d, query, rep, c) in enumerate(zip(*cols, strict=True)):
+                if group and key != (lead, x, d):
+                    yield from emit(compare(group))
+                    group = []
+                key = (lead, x, d)
+                group.append((query, rep, c, batch.column("items")[i].values.to_numpy(zero_copy_only=False)))
+        if group:
+            yield from emit(compare(group))
+
+    def emit(got):
+        got = list(got)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
+
+    return held.repartition("lead", "x", "d").sortWithinPartitions("lead", "x", "d").mapInArrow(run, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, k: int, percent: int, scratch: S.Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, rep) of every row and the (node, component) of linked representatives."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -157,10 +212,8 @@ def links(docs: DataFrame, k: int, percent: int, scratch: S.Scratch) -> tuple[Da
     edges2 = scratch.put("edges2", confirmed(second.join(first, ["a", "b"], "left_anti")))
     if edges2.limit(1).count():
         labels = components(edges.union(edges2), scratch)
-    rows = scratch.put("open3", open_buckets())
-    other = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = pair(rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), "c").join(other, "band").where("c < cb"))
-    edges3 = scratch.put("edges3", confirmed(rest.join(first, ["a", "b"], "left_anti")))
+    rows = scratch.put("open3", open_buckets().join(shared.select(F.col("band").alias("band2"), F.col("lead.rep").alias("lead")).distinct(), F.col("band") == F.col("band2")).select("lead", "rep", "n", "c").distinct())
+    edges3 = scratch.put("edges3", closing(rows, sets, percent))
     if edges3.limit(1).count():
         labels = components(edges.union(edges2).union(edges3), scratch)
     return members, labels
