@@ -41,8 +41,10 @@ SHARDS = (
 )
 #: A space after white space; then the cut would not be safe.
 _SPACED = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
+#: White space beside a line end; then the line end is no token of its own.
+_LINED = ("\n\n", " \n", "\t\n", "\r\n", "\v\n", "\f\n", "\x1c\n", "\x1d\n", "\x1e\n", "\x1f\n", "\n\t", "\n\r", "\n\v", "\n\f", "\n\x1c", "\n\x1d", "\n\x1e", "\n\x1f")
 #: White space other than the plain space that may stand before one.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def public_tokenizer(name: str) -> str:
@@ -58,8 +60,11 @@ class Encoder:
     encoded once.  The memo has two generations of at most MEMO chunks, so its memory is bounded."""
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; idle threads cost CPU
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.type = np.uint16 if self.vocab <= 1 << 16 else np.uint32
@@ -77,8 +82,11 @@ class Encoder:
             return None
         if any(s in text for s in self.special):
             return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if rest else [first]
+        if "\0" in text:  # the cutting mark below
+            return None
+        if "\n" in text and not any(s in text for s in _LINED):
+            text = text.replace("\n", "\0\n\0")
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._cut(t) for t in texts]
