@@ -41,6 +41,8 @@ SHARDS = (
 )
 #: A space after white space; then the cut would not be safe.
 _SPACED = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
+#: White space that would join a line end before it.
+_NOT_FIRST = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: White space beside a line end; then the line end is no token of its own.
 _LINED = ("\n\n", " \n", "\t\n", "\r\n", "\v\n", "\f\n", "\x1c\n", "\x1d\n", "\x1e\n", "\x1f\n", "\n\t", "\n\r", "\n\v", "\n\f", "\n\x1c", "\n\x1d", "\n\x1e", "\n\x1f")
 #: White space other than the plain space that may stand before one.
@@ -68,6 +70,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.type = np.uint16 if self.vocab <= 1 << 16 else np.uint32
+        line_end = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else -1
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,6 +80,16 @@ class Encoder:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.type).tobytes() for e in got]
 
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        """Encode chunks without white space but for a first space as the lines of one text: a line end there is one token."""
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(chunks)], add_special_tokens=False)[0].ids, self.type)
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(chunks) - 1:
+            return self._raw(chunks)
+        raw, size = ids.tobytes(), ids.itemsize
+        edge = [0, *((ends + 1) * size).tolist(), len(raw) + size]
+        return [raw[edge[k] : edge[k + 1] - size] for k in range(len(chunks))]
+
     def _cut(self, text: str) -> list[str] | None:
         """Chunks of a text, or None if it has to be encoded whole."""
         if any(s in text for s in _SPACED) or (not text.isascii() and _ODD_SPACE.search(text)):
@@ -102,9 +116,12 @@ class Encoder:
                 missing.append(w)
             else:
                 self.new[w] = b
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            self.new.update(zip(part, self._raw(part), strict=True))
+        plain = [w for w in missing if w and "\n" not in w and not w[-1].isspace() and w[0] not in _NOT_FIRST]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            self.new.update(zip(part, self._lines(part), strict=True))
+        odd = [w for w in missing if w not in self.new]
+        self.new.update(zip(odd, self._raw(odd), strict=True))
         get = self.new.__getitem__
         for i, c in enumerate(cut):
             if c is not None:
