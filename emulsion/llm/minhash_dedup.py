@@ -142,10 +142,21 @@ def closing(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
         items, owner = items[order], owner[order]
         comp = np.array([r[2] for r in body])
         for _, rep, c, own in (r for r in group if r[0]):
+            own = np.sort(own)
             lo, hi = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
-            common = np.bincount(owner[at], minlength=len(body))
-            good = np.flatnonzero((100 * common >= percent * (size + len(own) - common)) & (comp != c))
+            # a partner has all but a fifth of the query's items, so it has one of any fifth and one more: the rarest here
+            rare = np.argsort(hi - lo, kind="stable")[: len(own) + percent * len(own) // -100 + 1]
+            lo, k = lo[rare], (hi - lo)[rare]
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(int(k.sum()))
+            near = np.unique(owner[at])
+            n = size[near]
+            near = near[(comp[near] != c) & (100 * np.minimum(n, len(own)) >= percent * np.maximum(n, len(own)))]
+            if not len(near):
+                continue
+            theirs = np.concatenate([body[j][3] for j in near])
+            spot = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.add.reduceat((own[spot] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+            good = near[100 * common >= percent * (size[near] + len(own) - common)]
             _, first = np.unique(comp[good], return_index=True)
             for k in good[first]:
                 yield rep, body[k][1]
