@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ OUTLIER_Z, MAD_SCALE, TRIM = 3.5, 0.67448975, 0.10
 GATE = 0.05
 BASE_SEED = 0x52524148
 RESAMPLES = 10_000
+STATISTICS = ("mean", "p50", "p95", "p99")
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Places drawn at a time; bounds the memory of a task beside the group itself.
+BLOCK_DRAWS = 1 << 18
 
 
 def samples(rows: DataFrame) -> DataFrame:
@@ -95,26 +100,79 @@ def _quantile(v: list[float], q: float) -> float:
     return v[lo] if lo == hi else v[lo] + (v[hi] - v[lo]) * (at - lo)
 
 
-def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], statistic: str = "p50", resamples: int = RESAMPLES, seed: int = BASE_SEED) -> DataFrame:
-    """95 % interval of a statistic of each group, from seeded resamples, the same at any partitioning."""
-    stats = {"mean": lambda v: math.fsum(v) / len(v), "p50": lambda v: _quantile(v, 0.5), "p95": lambda v: _quantile(v, 0.95), "p99": lambda v: _quantile(v, 0.99)}
-    f = stats[statistic]
-    fields = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
+def _resampled(n: int, resamples: int, seed: int):
+    """Blocks of resamples as rows of n places, the places that ``random.Random(seed).randrange(n)`` draws one after the other."""
+    *key, at = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    width = n.bit_length()
+    left = np.zeros(0, np.uint64)
+    for done in range(0, resamples, rows := max(1, BLOCK_DRAWS // n)):
+        need = min(rows, resamples - done) * n
+        while len(left) < need:
+            raw = bits.random_raw(1024 + (need - len(left) << width) // n) >> np.uint64(32 - width)
+            left = np.concatenate([left, raw[raw < n]])
+        yield left[:need].reshape(-1, n).astype(np.intp)
+        left = left[need:]
+
+
+def _mean_of(v: np.ndarray):
+    """The mean of each row of places, equal to ``math.fsum`` over the length: both parts of the values have exact sums wherever their range allows it."""
+    n, size = len(v), np.abs(v[v != 0])
+    if not len(size):
+        return lambda at: np.zeros(len(at))
+    unit = math.ldexp(1.0, math.frexp(float(size.max()) * n)[1] - 52)
+    if not n * unit <= math.ldexp(1.0, math.frexp(float(size.min()))[1] + 1):
+        return lambda at: np.array([math.fsum(r) / n for r in v[at].tolist()])
+    high = np.rint(v / unit) * unit
+    low = v - high
+    return lambda at: (high[at].sum(1) + low[at].sum(1)) / n
+
+
+def _intervals(v: list[float], names: list[str], resamples: int, seed: int) -> dict[str, tuple[float, float]]:
+    """95 % interval of each statistic; names of one length share their seed, and so their resamples."""
+    out = {}
+    for size in {len(x) for x in names}:
+        some = [x for x in names if len(x) == size]
+        if len(v) < 2 or resamples <= 0:
+            out |= {x: (math.fsum(v) / len(v) if x == "mean" else _quantile(v, QUANTILES[x]),) * 2 for x in some}
+            continue
+        values = np.array(v, float)
+        mean = _mean_of(values)
+        at = {x: (len(v) - 1) * QUANTILES[x] for x in some if x != "mean"}
+        got: dict[str, list[float]] = {x: [] for x in some}
+        for places in _resampled(len(v), resamples, seed + size):
+            if "mean" in got:
+                got["mean"] += mean(places).tolist()
+            if at:
+                drawn = np.partition(values[places], sorted({f(k) for k in at.values() for f in (math.floor, math.ceil)}), axis=1)
+                for x, k in at.items():
+                    lo, hi = drawn[:, math.floor(k)], drawn[:, math.ceil(k)]
+                    got[x] += (lo + (hi - lo) * (k - math.floor(k))).tolist()
+        out |= {x: (_quantile(g, 0.025), _quantile(g, 0.975)) for x, g in got.items()}
+    return out
+
+
+def bootstrap_all(rows: DataFrame, keys: list[str], value: str, order: list[str], statistics: tuple[str, ...] = STATISTICS, resamples: int = RESAMPLES, seed: int = BASE_SEED) -> DataFrame:
+    """95 % interval of each statistic of each group, from seeded resamples, the same at any partitioning; a task for each group and seed."""
+    sizes = sorted({len(x) for x in statistics})
+    fields = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
+    kept = list(dict.fromkeys([*keys, value, *order]))
 
     def run(pdf):
         import pandas as pd
 
         v = pdf.sort_values(order)[value].tolist()
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        if len(v) < 2:
-            lo = hi = v[0]
-        else:
-            rng = random.Random(seed + len(statistic))
-            got = [f([v[rng.randrange(len(v))] for _ in v]) for _ in range(resamples)]
-            lo, hi = _quantile(got, 0.025), _quantile(got, 0.975)
-        return pd.DataFrame(out | {"n": [len(v)], "ci_lo": [lo], "ci_hi": [hi]})
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{fields}, n long, ci_lo double, ci_hi double")
+        got = _intervals(v, [x for x in statistics if len(x) == pdf["_size"].iloc[0]], resamples, seed)
+        out = {k: [pdf[k].iloc[0]] * len(got) for k in keys}
+        return pd.DataFrame(out | {"metric": list(got), "n": [len(v)] * len(got), "ci_lo": [x[0] for x in got.values()], "ci_hi": [x[1] for x in got.values()]})
+
+    each = rows.select(*kept, F.explode(F.array(*map(F.lit, sizes))).alias("_size"))
+    return each.groupBy(*keys, "_size").applyInPandas(run, f"{fields}, metric string, n long, ci_lo double, ci_hi double")
+
+
+def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], statistic: str = "p50", resamples: int = RESAMPLES, seed: int = BASE_SEED) -> DataFrame:
+    return bootstrap_all(rows, keys, value, order, (statistic,), resamples, seed).drop("metric")
 
 
 def report(rows: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:

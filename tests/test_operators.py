@@ -1,6 +1,8 @@
 """Operators that the bound queries do not cover."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,33 @@ def test_bootstrap_is_the_same_at_any_partitioning(spark):
     assert sorted(a) == sorted(b) and all(r.ci_lo <= r.ci_hi for r in a)
 
 
+def drawn_one_by_one(v, name, resamples, seed):
+    rng, got = random.Random(seed + len(name)), []
+    for _ in range(resamples):
+        some = [v[rng.randrange(len(v))] for _ in v]
+        got.append(math.fsum(some) / len(some) if name == "mean" else A._quantile(some, {"p50": 0.5, "p95": 0.95, "p99": 0.99}[name]))
+    return A._quantile(got, 0.025), A._quantile(got, 0.975)
+
+
+@pytest.mark.parametrize("v", [[0.1 * i * i for i in range(300)], [1e-300, 3.0, 1e300, -7.1], [0.0, 0.0], [5.5, -5.5, 0.1]])
+def test_intervals_equal_those_of_single_draws(v):
+    got = A._intervals(v, list(A.STATISTICS), 400, 7)
+    assert got == {x: drawn_one_by_one(v, x, 400, 7) for x in A.STATISTICS}
+    assert A._intervals([2.5], list(A.STATISTICS), 400, 7) == dict.fromkeys(A.STATISTICS, (2.5, 2.5))
+
+
+def test_bootstrap_query_has_all_statistics_and_resamples(spark):
+    d = "/root/testdata/sf0.001"
+    got = {(r.event_type, r.metric): (r.ci_lo, r.ci_hi) for r in plans.QUERIES["bootstrap_ci"](spark, d).collect()}
+    kinds = {}
+    for r in spark.read.parquet(f"{d}/events.parquet").orderBy("value", "event_id").collect():
+        kinds.setdefault(r.event_type, []).append(r.value)
+    assert set(got) == {(k, x) for k in kinds for x in ("mean", "p50", "p95", "p99")}
+    k = min(kinds, key=lambda k: len(kinds[k]))
+    assert got[k, "mean"] == drawn_one_by_one(kinds[k], "mean", 10_000, 0x52524148)
+    assert got[k, "p99"] == drawn_one_by_one(kinds[k], "p99", 10_000, 0x52524148)
+
+
 def test_lru_pins_and_oversize():
     s = Q.WeightedLru(10)
     assert s.insert("a", 4) == (True, []) and s.insert("b", 4) == (True, [])
