@@ -46,10 +46,8 @@ def dup_lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     start = np.flatnonzero(begins[: len(buf)])
     end = np.append(start[1:], len(buf))[: len(start)]
     doc = np.searchsorted(off, start, "right") - 1
-    # a line ends before its \n; the last line of a document ends with the document
-    end = end - ((end > start) & (end < off[doc + 1]))
-    last = (end == off[doc + 1]) & (end > start)
-    last[last] = (buf[end[last] - 1] == 10) & (np.append(start[1:], -1)[last] != end[last])
+    # a line ends before its \n, the last line of a document before its own or with the document
+    end = end - (buf[end - 1] == 10)
     sums = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(~X.SPACE[buf], out=sums[1:])
     worded = sums[end] > sums[start]

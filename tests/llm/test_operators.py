@@ -191,6 +191,18 @@ def brute_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
 
 
+LINE_FEEDS = ["abc\nabc\n", "abc\nabc", "abc\nabc\n\n", "abc\n", "\n", "\n\n", "", "x\nabc\nx\n", "abc\n abc\n", "abc\nabc\nabc\n", "x", "x\r\nx\r\n"]
+
+
+@pytest.mark.parametrize("texts", [LINE_FEEDS, LINE_FEEDS[::-1], ["abc\nabc\n"]])
+def test_duplicate_lines_before_a_last_line_feed(texts):
+    import pyarrow as pa
+
+    (_, _, buf, off), = X.slices(pa.array(texts))
+    _, dups = _stats.dup_lines(buf, off)
+    assert dups.tolist() == [brute_base(t)[3] for t in texts]
+
+
 def test_quality_base_counts(spark, odd, docs):
     some = spark.createDataFrame(docs[:400], "doc_id long, text string")
     for df, rows in ((odd, ODD), (some, docs[:400])):
