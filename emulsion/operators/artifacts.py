@@ -14,7 +14,7 @@ def sample_offsets(size: Column, sample: int = SAMPLE) -> Column:
     return F.when(size <= sample, F.array(F.lit(0).cast("long"))).otherwise(F.array_sort(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor((size - sample) / 2), (size - sample).cast("long")))))
 
 
-def sampled_fingerprint(text: Column, sample: int) -> Column:
+def sampled_fingerprint(text: Column, sample: int = SAMPLE) -> Column:
     """SHA-256 of the length and of head, middle and tail, so its cost does not follow the length."""
     n = F.length(text)
     mid = F.greatest(F.floor((n - sample) / 2), F.lit(0)).cast("int") + 1

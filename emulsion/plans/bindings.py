@@ -245,6 +245,17 @@ def sample_offsets(spark, d):
     return t(spark, d, "documents").select("doc_id", K.sample_offsets(F.col("n_chars"), 1000).alias("offsets"))
 
 
+@query(f"""SELECT doc_id, sha256(length(text) || '|' || substr(text, 1, {K.SAMPLE}) || '|' || substr(text, CAST(greatest(floor((length(text) - {K.SAMPLE}) / 2), 0) AS BIGINT) + 1, {K.SAMPLE}) || '|' || substr(text, greatest(length(text) - {K.SAMPLE}, 0) + 1, {K.SAMPLE})) AS fingerprint FROM documents""")
+def sampled_fingerprint_64k(spark, d):
+    """With the operator's own sample, so that texts up to that size are hashed whole; sampled_fingerprint is bound to 64 characters by its SQL."""
+    return t(spark, d, "documents").select("doc_id", K.sampled_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(f"SELECT doc_id, CASE WHEN n_chars <= {K.SAMPLE} THEN [CAST(0 AS BIGINT)] ELSE list_sort(list_distinct([0, CAST(floor((n_chars - {K.SAMPLE}) / 2) AS BIGINT), n_chars - {K.SAMPLE}])) END AS offsets FROM documents")
+def sample_offsets_64k(spark, d):
+    return t(spark, d, "documents").select("doc_id", K.sample_offsets(F.col("n_chars")).alias("offsets"))
+
+
 @query("SELECT source, count(*) AS entries, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def store_usage(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("entries"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))

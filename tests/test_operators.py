@@ -136,6 +136,18 @@ def test_recipe_bytes(spark):
     assert len(got) == 64 and got[:8] == b"RMR\0\x01\0\x01\0" and got[8:12] == b"\x03\0\0\0" and got[28:60] == b"\xab" * 32
 
 
+def test_fingerprint_of_the_operators_own_sample(spark):
+    """Texts up to 65,536 characters count whole: those of sf0.01 get one fingerprint only if they are equal."""
+    d = "/root/testdata/sf0.01"
+    assert K.SAMPLE == 65536
+    rows = spark.createDataFrame([(1, "a" * 300 + "b" + "a" * 698), (2, "a" * 301 + "b" + "a" * 697), (3, "a" * 300 + "b" + "a" * 698)], "i int, text string")
+    got = {r.i: r.f for r in rows.select("i", K.sampled_fingerprint(F.col("text")).alias("f")).collect()}
+    assert got[1] == got[3] != got[2]
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(plans.QUERIES["sampled_fingerprint_64k"](spark, d), "doc_id")
+    assert docs.select("text").distinct().count() == docs.select("fingerprint").distinct().count()
+    assert all(r.offsets == [0] for r in plans.QUERIES["sample_offsets_64k"](spark, d).collect())
+
+
 def test_running_total_equals_a_window(spark):
     rows = spark.createDataFrame([(i * 7 % 101, i, i % 5) for i in range(300)], "o int, i int, v int")
     got = {r.i: r.running_total for r in Q.running_total(rows, ["o", "i"], "v", buckets=7).collect()}
