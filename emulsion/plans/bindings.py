@@ -220,9 +220,19 @@ def cover_first_per_group(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", key).alias("cover"))
 
 
+def com_or_net(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url").where(F.col("url").rlike(r"^https?://[^/]+\.(com|net)/"))
+
+
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]+\\.(com|net)/') ORDER BY lower(url), page_id LIMIT 100")
 def scan_filter_sort_limit(spark, d):
-    return t(spark, d, "pages").select("page_id", "url").where(F.col("url").rlike(r"^https?://[^/]+\.(com|net)/")).orderBy(C.ascii_lower(F.col("url")), "page_id").limit(100)
+    return C.first_by_name(com_or_net(t(spark, d, "pages")), F.col("url"), "page_id", 100)
+
+
+@query(f"SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]+\\.(com|net)/') ORDER BY lower(url), page_id LIMIT {C.MAX_ITEMS}")
+def scan_filter_sort_max_items(spark, d):
+    """With the catalog's own limit; scan_filter_sort_limit is bound to 100 by its SQL."""
+    return C.first_by_name(com_or_net(t(spark, d, "pages")), F.col("url"), "page_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -50,10 +50,13 @@ def resolve(path: Column, head: Column) -> Column:
     return F.coalesce(strong, backend(path))
 
 
+def first_by_name(rows: DataFrame, name: Column, tie: str, limit: int = MAX_ITEMS) -> DataFrame:
+    return rows.orderBy(ascii_lower(name), tie).limit(limit)
+
+
 def scan_folder(files: DataFrame, path: str, limit: int = MAX_ITEMS) -> DataFrame:
     """Supported files by lower-cased name, at most ``limit``: a top-k, so no full sort."""
-    name = ascii_lower(F.element_at(F.split(path, "/"), -1))
-    return files.where(is_supported(F.col(path))).orderBy(name, path).limit(limit)
+    return first_by_name(files.where(is_supported(F.col(path))), F.element_at(F.split(path, "/"), -1), path, limit)
 
 
 def first_per_folder(files: DataFrame, path: str) -> DataFrame:

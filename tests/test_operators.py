@@ -136,6 +136,15 @@ def test_recipe_bytes(spark):
     assert len(got) == 64 and got[:8] == b"RMR\0\x01\0\x01\0" and got[8:12] == b"\x03\0\0\0" and got[28:60] == b"\xab" * 32
 
 
+def test_scan_keeps_all_rows_up_to_the_limit(spark):
+    d = "/root/testdata/sf0.01"
+    pages = plans.bindings.com_or_net(spark.read.parquet(f"{d}/pages.parquet")).collect()
+    got = [r.page_id for r in plans.QUERIES["scan_filter_sort_max_items"](spark, d).collect()]
+    assert len(pages) > 100 and got == [r.page_id for r in sorted(pages, key=lambda r: (r.url.lower(), r.page_id))]
+    many = spark.range(C.MAX_ITEMS + 5).select(F.concat(F.lit("F"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"), "id")
+    assert [r.id for r in C.first_by_name(many, F.col("name"), "id").collect()] == list(range(C.MAX_ITEMS))
+
+
 def test_fingerprint_of_the_operators_own_sample(spark):
     """Texts up to 65,536 characters count whole: those of sf0.01 get one fingerprint only if they are equal."""
     d = "/root/testdata/sf0.01"
