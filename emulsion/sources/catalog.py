@@ -59,9 +59,13 @@ def scan_folder(files: DataFrame, path: str, limit: int = MAX_ITEMS) -> DataFram
     return first_by_name(files.where(is_supported(F.col(path))), F.element_at(F.split(path, "/"), -1), path, limit)
 
 
+def cover(rows: DataFrame, group: Column, name: Column, pick: str) -> DataFrame:
+    """Of each group the row of the least lower-cased name, compared whole."""
+    return rows.groupBy(group).agg(F.min_by(pick, F.struct(ascii_lower(name), F.col(pick))).alias("cover"))
+
+
 def first_per_folder(files: DataFrame, path: str) -> DataFrame:
-    name = ascii_lower(F.element_at(F.split(path, "/"), -1))
-    return files.groupBy(F.regexp_replace(path, "/[^/]*$", "").alias("folder")).agg(F.min_by(path, F.struct(name, F.col(path))).alias("cover"))
+    return cover(files, F.regexp_replace(path, "/[^/]*$", "").alias("folder"), F.element_at(F.split(path, "/"), -1), path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

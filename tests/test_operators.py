@@ -145,6 +145,13 @@ def test_scan_keeps_all_rows_up_to_the_limit(spark):
     assert [r.id for r in C.first_by_name(many, F.col("name"), "id").collect()] == list(range(C.MAX_ITEMS))
 
 
+def test_cover_compares_whole_names(spark, tmp_path):
+    head = "One opening line of twenty and more characters, "
+    rows = [("s", 1, head + "b"), ("s", 2, head.upper() + "A"), ("s", 3, head + "c"), ("t", 5, head), ("t", 4, head), ("u", 6, "x" * 30), ("u", 7, "x" * 20)]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.source: r.cover for r in plans.QUERIES["cover_whole_name_per_group"](spark, str(tmp_path)).collect()} == {"s": 2, "t": 4, "u": 7}
+
+
 def test_fingerprint_of_the_operators_own_sample(spark):
     """Texts up to 65,536 characters count whole: those of sf0.01 get one fingerprint only if they are equal."""
     d = "/root/testdata/sf0.01"
