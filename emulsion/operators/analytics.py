@@ -175,15 +175,33 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], st
     return bootstrap_all(rows, keys, value, order, (statistic,), resamples, seed).drop("metric")
 
 
-def report(rows: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:
-    """The summary of each group with MAD, outlier count, trimmed mean and warnings."""
-    flagged = with_mad(rows, keys, value)
-    mads = flagged.groupBy(*keys).agg(F.max("mad").alias("mad_v"), F.sum(is_outlier(F.col(value), F.col("n"), F.col("median"), F.col("mad")).cast("long")).alias("outlier_count"))
-    out = summary(rows, keys, value).join(mads, keys).join(trimmed_mean(rows, keys, value, ties), keys)
+def report_without_intervals(rows: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:
+    """The summary of each group with MAD, outliers, trimmed mean, percentiles without outliers (null where there are none) and warnings.
+
+    n_used counts the rows that are no outliers, n_trimmed those of the trimmed mean."""
+    out_of = F.coalesce(is_outlier(F.col(value), F.col("n"), F.col("median"), F.col("mad")), F.lit(False))
+    flagged = with_mad(rows, keys, value).withColumn("_out", out_of)
+    kept = F.when(~F.col("_out"), F.col(value))
+    some = F.max("_out")
+    mads = flagged.groupBy(*keys).agg(
+        F.max("mad").alias("mad_v"), F.sum(F.col("_out").cast("long")).alias("outlier_count"),
+        F.when(F.count(kept) > 0, F.count(kept)).otherwise(F.count(value)).alias("n_used"),
+        F.when(some, F.percentile(kept, 0.5)).alias("filtered_p50"), F.when(some, F.percentile(kept, 0.95)).alias("filtered_p95"),
+    )
+    trimmed = trimmed_mean(rows, keys, value, ties).withColumnRenamed("n_used", "n_trimmed")
+    out = summary(rows, keys, value).join(mads, keys).join(trimmed, keys)
     few = F.when(F.col("n") < 10, "n<10").when(F.col("n") < 30, "n<30").otherwise("")
     return out.withColumn("warning", few)
 
 
+def report(rows: DataFrame, keys: list[str], value: str, ties: list[str], resamples: int = RESAMPLES) -> DataFrame:
+    """The report with the 95 % intervals of mean, p50, p95 and p99."""
+    limits = bootstrap_all(rows.where(F.col(value).isNotNull()), keys, value, [value, *ties], resamples=resamples)
+    at = lambda x, c: F.max(F.when(F.col("metric") == x, F.col(c))).alias(f"{x}_{c}")
+    wide = limits.groupBy(*keys).agg(*(at(x, c) for x in STATISTICS for c in ("ci_lo", "ci_hi")))
+    return report_without_intervals(rows, keys, value, ties).join(wide, keys, "left")
+
+
 # ---- telemetry
 def counters(events: DataFrame) -> DataFrame:
     return events.where("kind = 'counter'").groupBy("name", "stage").agg(F.sum("value").alias("total"))

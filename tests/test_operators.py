@@ -145,6 +145,24 @@ def test_scan_keeps_all_rows_up_to_the_limit(spark):
     assert [r.id for r in C.first_by_name(many, F.col("name"), "id").collect()] == list(range(C.MAX_ITEMS))
 
 
+def test_report_is_whole(spark):
+    groups = {"a": [float(i % 7) for i in range(40)] + [500.0, -300.0], "b": [1.0, 2.0, 99.0], "c": [1.0] * 5 + [9.0], "d": [4.5]}
+    rows = spark.createDataFrame([(k, i, v) for k, vs in groups.items() for i, v in enumerate(vs)], "k string, i int, v double")
+    got = {r.k: r for r in A.report(rows, ["k"], "v", ["i"], resamples=200).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        mid = A._quantile(vs, 0.5)
+        mad = A._quantile([abs(v - mid) for v in vs], 0.5)
+        kept = [v for v in vs if len(vs) < 4 or (v == mid if mad == 0 else abs(0.67448975 * (v - mid) / mad) <= 3.5)]
+        r = got[k]
+        assert (r.n, r.n_used, r.outlier_count, r.mad_v) == (len(vs), len(kept), len(vs) - len(kept), mad)
+        want = (None, None) if kept == vs else (A._quantile(kept, 0.5), A._quantile(kept, 0.95))
+        assert (r.filtered_p50, r.filtered_p95) == pytest.approx(want)
+        for x in A.STATISTICS:
+            assert (r[f"{x}_ci_lo"], r[f"{x}_ci_hi"]) == (drawn_one_by_one(sorted(vs), x, 200, A.BASE_SEED) if len(vs) > 1 else (vs[0], vs[0]))
+    assert (got["a"].outlier_count, got["c"].outlier_count, got["b"].outlier_count) == (2, 1, 0)
+
+
 def test_cover_compares_whole_names(spark, tmp_path):
     head = "One opening line of twenty and more characters, "
     rows = [("s", 1, head + "b"), ("s", 2, head.upper() + "A"), ("s", 3, head + "c"), ("t", 5, head), ("t", 4, head), ("u", 6, "x" * 30), ("u", 7, "x" * 20)]
