@@ -130,6 +130,55 @@ def test_minhash_crowded_bucket(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def all_pairs_components(sets):
+    """Components by every pair of sets: no pair is left out for how common its items are."""
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = set()
+    by_size = sorted(sets, key=lambda i: len(sets[i]))
+    for j, a in enumerate(by_size):
+        for b in by_size[j + 1 :]:
+            if 100 * len(sets[a]) < 80 * len(sets[b]):
+                break
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                near.add((min(a, b), max(a, b)))
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}, near
+
+
+def test_minhash_equals_all_pairs(spark, docs):
+    """Unlike exact_components, which skips items of more than 60 documents."""
+    sets = {}
+    for i, t in docs:
+        w = words(lower(t))
+        sets[i] = frozenset(zip(w, w[1:])) if len(w) >= 2 else frozenset([tuple(w)] if w else [])
+    some = {i: s for i, s in sets.items() if s}
+    want = {i: i for i in sets} | all_pairs_components(some)[0]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.op1_minhash_dedup(spark, DATA).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [7, 16, 1000])
+def test_closing_over_several_blocks(spark, block):
+    rng = random.Random(9)
+    sets = {}
+    for i in range(90):
+        kind = i % 3
+        sets[i] = {1000 * kind + j for j in range(40)} - set(rng.sample(range(1000 * kind, 1000 * kind + 40), rng.randrange(5))) | set(rng.sample(range(5000, 9000), rng.randrange(5)))
+    components, near = all_pairs_components(sets)
+    rows = spark.createDataFrame([(0, i, len(s), i) for i, s in sets.items()], "lead long, rep long, n long, c long")
+    items = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "doc_id long, items array<long>")
+    links = {(min(r[0], r[1]), max(r[0], r[1])) for r in minhash_dedup.closing(rows, items, 80, block).collect()}
+    assert links == near and 3 <= len(set(components.values())) < 90
+
+
 def test_sketch_estimates_and_fills():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 400).astype(np.uint64)
