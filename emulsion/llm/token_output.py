@@ -28,7 +28,7 @@ from . import _spark as S
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 5
+LEAST = 8
 MIN_GAIN = 0.02
 STRIDE = 1024
 SLICE_DOCS_BYTES = 1 << 21
@@ -142,20 +142,19 @@ def repair(ids: np.ndarray, vocab: int, limit: int | None = None) -> tuple[np.nd
     rules: list[np.ndarray] = []
     made = 0
     limit = limit if limit is not None else ((1 << 16) - vocab if vocab < 1 << 16 else 1 << 20)
-    for _ in range(ROUNDS):
+    while True:
         n = len(seq)
         if n < 64 or made >= limit:
             break
-        least = max(8, n >> 13)
         left, right = seq[:-1], seq[1:]
         slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _TABLE_BITS)
-        often = np.bincount(slot, minlength=1 << _TABLE_BITS) >= least
+        often = np.bincount(slot, minlength=1 << _TABLE_BITS) >= LEAST
         at = np.flatnonzero(often[slot])
         if not len(at):
             break
         code = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
         pairs, which, count = np.unique(code, return_inverse=True, return_counts=True)
-        good = count >= least
+        good = count >= LEAST
         if good.sum() > limit - made:
             good[np.argsort(-count, kind="stable")[limit - made :]] = False
         at, which = at[good[which]], which[good[which]]

@@ -350,6 +350,19 @@ def test_repair_random_access():
         assert token_output.unpack(token_output.pack(np.array(few, np.uint32), 500)).tolist() == few
 
 
+def test_repair_goes_on_with_rare_copies():
+    """60 copies of a long text in a shard get rules, and symbols of more than 32 ids where copies pay."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 30_000, 3000)
+    ids = np.concatenate([x for _ in range(60) for x in (text, rng.integers(0, 30_000, 300))]).astype(np.uint32)
+    symbols, rules = token_output.repair(ids, 30_000)
+    assert (token_output.expand(symbols, rules, 30_000) == ids).all()
+    assert len(symbols) + 2 * len(rules) < 0.25 * len(ids)
+    many = np.tile(rng.integers(0, 500, 640), 300).astype(np.uint32)
+    symbols, rules = token_output.repair(many, 500)
+    assert (token_output.expand(symbols, rules, 500) == many).all() and token_output.rule_sizes(rules, 500).max() > 32
+
+
 # ---- sharding, decontamination, chat
 def test_sharding(spark, odd):
     from emulsion.llm import _spark
