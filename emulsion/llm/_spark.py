@@ -15,19 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests), a new local folder."""
+    """spark.checkpoint.dir; where that is unset, a new local folder in local mode and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="emulsion-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def free_name(columns, name: str) -> str:
+    """``name``, with underscores appended until no column has it (names compare without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
-    """Tables written once and read back: lineage is cut, a lost executor costs a reread and nothing else."""
+    """Tables written once and read back: lineage is cut, a lost executor costs a reread and nothing else.
+
+    What is not dropped before is deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/emulsion/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -58,3 +74,16 @@ def crc_fold(column: str, folds: int):
 def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hash of the id: the same rows at any partitioning."""
     return df.orderBy(F.xxhash64(F.col(id_column)), F.col(id_column)).limit(rows)
+
+
+#: Ids of a sample below this count are sent to every executor; each takes 8 bytes and a label.
+BROADCAST_IDS = 200_000
+
+
+def sample_rows(docs: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``docs`` whose doc_id is in ``sample`` (doc_id, ...; at most ``rows`` distinct ids).
+
+    Rows may share an id, so the joined rows are bounded again, by the hash of their text.  The ids are broadcast where they are
+    few, so no text is shuffled but that of the sample."""
+    got = docs.where("doc_id is not null").join(F.broadcast(sample) if rows <= BROADCAST_IDS else sample, "doc_id")
+    return got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
