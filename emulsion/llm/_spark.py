@@ -33,6 +33,18 @@ def free_name(columns, name: str) -> str:
     return name
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names, also those that Spark's own method can't resolve (as a.b)."""
+    names, out = df.columns, [f.name for f in schema]
+    plain = type(schema)([type(f)(f"c{i}", f.dataType, True) for i, f in enumerate(schema)])
+
+    def renamed(batches):
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(len(out))])
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(renamed, plain).toDF(*out)
+
+
 class Scratch:
     """Tables written once and read back: lineage is cut, a lost executor costs a reread and nothing else.
 

@@ -522,8 +522,9 @@ def brute_spans(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_suffix_dedup_matches_brute_force(spark, docs, hot):
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 20, 2])
+def test_suffix_dedup_matches_brute_force(spark, docs, crowd):
+    """Also with parts of an owner, and with contexts of crowded anchors, as they are on large tables."""
     rng = random.Random(6)
     rows = [(i, t) for i, t in ODD if i is not None] + [(100 + i, t) for i, t in docs[:60]]
     for k in range(60):
@@ -531,10 +532,47 @@ def test_suffix_dedup_matches_brute_force(spark, docs, hot):
         p, q = rng.randrange(len(a)), rng.randrange(len(b))
         rows.append((1000 + k, a[p : p + rng.randrange(300)] + "é" + b[q : q + 55]))
     rows += [(2000 + k, "z" * (45 + k) + "ab" * k) for k in range(40)]
-    got = Counter(tuple(r) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot).collect())
+    got = Counter(tuple(r) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowd).collect())
     assert got == brute_spans(rows)
 
 
+def test_suffix_dedup_of_contexts_that_differ_nearby(spark):
+    """One passage of 30 bytes in every text, so that its anchors are crowded, with few kinds of text beside it."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        left, right = (f"{rng.randrange(6):025d}" * rng.randrange(3) for _ in range(2))
+        rows.append((i, left + "the same thirty bytes in each!" + right + f"{i:040d}"))
+    got = Counter(tuple(r) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect())
+    assert got == brute_spans(rows)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts over a megabyte are hashed in overlapping pieces; the owner of many anchors has several parts."""
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(1_300_000))
+    rows = [(5, long), (6, "x" + long[500_000:1_100_000] + "yé" * 30), (7, long[524_250:524_330]), (8, long[:70] + long[-70:])]
+    got = Counter(tuple(r) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == brute_spans(rows)
+
+
+def test_run_length_index_streams_what_is_there():
+    rng = random.Random(14)
+    for n in (60, 1500, 4000):
+        words = ["".join(rng.choice("ab\xff") for _ in range(70)) for _ in range(5)]
+        raw = "".join(rng.choice(words) for _ in range(n // 70 + 1)).encode("latin-1")[: n - 1] + b"Z"  # no string goes round the end
+        text = np.frombuffer(raw, np.uint8)
+        owner = np.sort(np.array([rng.randrange(40) for _ in range(n)]))[::-1].copy()
+        least = {}
+        for k in range(n - 49):
+            least[raw[k : k + 50]] = min(least.get(raw[k : k + 50], 99), int(owner[k]))
+        index = suffix_dedup.RunLengthIndex(text, owner)
+        assert len(index.run) < n
+        # the sample of a match is the document of the byte after its first one
+        shifted = suffix_dedup.RunLengthIndex(text, np.roll(owner, 1))
+        assert shifted.stream(text, 64).tolist()[: n - 49] == [least[raw[k : k + 50]] for k in range(n - 49)]
+
+
 def test_suffix_strip(spark, odd):
     out = suffix_dedup.strip(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
@@ -545,6 +583,23 @@ def test_suffix_strip(spark, odd):
     assert got == {1: ("start " + passage + " end", len(passage) + 10), 2: ("", 0), 3: ("xy", 2)}
 
 
+def test_suffix_strip_makes_no_new_characters(spark):
+    """The passage begins in the middle of one character and ends in the middle of another."""
+    passage = "a passage of more than fifty bytes that stands in two of the texts"
+    df = spark.createDataFrame([(1, "é" + passage + "é"), (3, "ĩ" + passage + "è"), (4, "中" + passage + "ĩx")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.strip(df).collect()}
+    assert got == {1: "é" + passage + "é", 3: "", 4: "中ĩx"}
+
+
+def test_suffix_strip_keeps_columns_of_any_name(spark):
+    names = ["_key", "_first", "_spans", "_k1", "_k2", "_d", "spans", "tid", "text_key", "anchor", "a.b"]
+    passage = "a passage of more than fifty bytes that stands in two of the texts"
+    df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in ((1, passage), (2, "x" + passage), (None, passage), (3, None))], ["doc_id", "text", *names])
+    out = suffix_dedup.strip(df)
+    assert out.columns == df.columns
+    assert {r[0]: r[1:] for r in out.collect()} == {r[0]: ("x" if r[0] == 2 else r[1], *r[2:]) for r in df.collect()}
+
+
 def test_stats_slices_are_independent(docs):
     import pyarrow as pa
 
