@@ -7,10 +7,12 @@ chosen so that any two substitutions in 13 words leave one of them intact, so no
 placements).  Items of SPAN to STRETCH - 1 words must agree whole; shorter items are no evidence and match nothing.
 
 Scale: windows of every text are hashed where they are read; only the benchmark's seeds are joined, broadcast if they are
-at most BROADCAST_SEEDS rows and shuffled otherwise; only hits and the texts that have one move on.
+at most BROADCAST_SEEDS rows and shuffled otherwise; only hits move on.  Hits go back to the texts by a broadcast if they are at most
+BROADCAST_HITS and by a shuffled join otherwise.
 
 Defined cases: null and empty texts and items match nothing; repeated rows each get their row; a null id gets its own row (the
-key is id and text hash); extra columns are ignored by ``find`` and kept by ``remove``.
+key is id and text hash); extra columns of any name are ignored by ``find`` and kept by ``remove``; an empty table gives an empty
+result and an empty benchmark finds nothing; a text of any length is searched whole, in memory of a few times its size.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 STRETCH = 13
 MAX_SUBSTITUTIONS = 2
 BROADCAST_SEEDS = 2_000_000
+#: Places of texts that share a seed with an item.
+BROADCAST_HITS = 200_000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -34,14 +38,15 @@ def word_hashes(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(h: str) -> Column:
-    """All mask hashes of an array of word hashes: mask by mask, each in order of position."""
-    n = F.size(h) - SPAN + 1
+def windows(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, at, seed) of every window of SPAN words of the arrays ``h`` and every mask.
 
-    def hashed(m: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(m), *(F.get(F.col(h), i + o) for o in MASKS[m])))
-
-    return F.when(n > 0, F.concat(*(hashed(m) for m in range(len(MASKS)))))
+    The window's words stand beside one another as columns, so hashing runs in generated code."""
+    n = F.size("h") - SPAN + 1
+    beside = F.arrays_zip(*(F.slice("h", 1 + o, n).alias(f"w{o}") for o in range(SPAN)))
+    rows = df.where(F.size("h") >= SPAN).select(*keep, F.posexplode(beside).alias("at", "w"))
+    hashes = F.array(*(F.xxhash64(F.lit(m), *(F.col(f"w.w{o}") for o in mask)) for m, mask in enumerate(MASKS)))
+    return rows.select(*keep, "at", F.explode(hashes).alias("seed"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -63,21 +68,17 @@ def verified(b: Column, a: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Distinct (doc_id, text_key, item_id) of texts that hold an item."""
-    offsets = items_of(benchmark).select("item_id", "b", F.posexplode(seeds("b")).alias("p", "seed")).select(
-        "item_id", "seed", F.expr(f"p div (size(b) - {SPAN - 1})").alias("mask"), F.expr(f"p % (size(b) - {SPAN - 1})").alias("at")
-    )
-    if benchmark.select("text").where("text is not null").count() == 0:
-        offsets = offsets.limit(0)
+    offsets = windows(items_of(benchmark).withColumn("h", F.col("b")), "item_id").select("item_id", "seed", F.col("at").alias("of_item"))
     small = offsets.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    offsets = offsets.select("item_id", "seed", "at")
     keyed = _keyed(docs)
-    spread = keyed.select("doc_id", "text_key", word_hashes("text").alias("h")).where(F.size("h") >= SPAN)
-    spread = spread.select("doc_id", "text_key", F.size("h").alias("n"), F.posexplode(seeds("h")).alias("p", "seed"))
+    spread = windows(keyed.select("doc_id", "text_key", word_hashes("text").alias("h")), "doc_id", "text_key")
     hits = spread.join(F.broadcast(offsets) if small else offsets, "seed")
-    diagonal = (F.expr(f"cast(p % (n - {SPAN - 1}) as bigint)") - F.col("at")).alias("diagonal")
-    found = hits.select("doc_id", "text_key", "item_id", diagonal).distinct()
+    found = hits.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("of_item")).alias("diagonal")).distinct()
     by_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("item_id", "diagonal")).alias("ds"))
-    texts = keyed.join(by_doc, keyed["doc_id"].eqNullSafe(by_doc["d"]) & (keyed["text_key"] == by_doc["k"]))
+    # the texts that have a hit are read again; they are few, unless the benchmark's words are the corpus's own
+    by_doc = S.Scratch(docs.sparkSession, "leaks").put("hits", by_doc)
+    few = by_doc.agg(F.coalesce(F.sum(F.size("ds")), F.lit(0))).first()[0] <= BROADCAST_HITS
+    texts = keyed.join(F.broadcast(by_doc) if few else by_doc, keyed["doc_id"].eqNullSafe(by_doc["d"]) & (keyed["text_key"] == by_doc["k"]))
     rows = texts.select("doc_id", "text_key", word_hashes("text").alias("h"), "ds").select("doc_id", "text_key", "h", F.explode("ds").alias("x"))
     items = items_of(benchmark)
     rows = rows.select("doc_id", "text_key", "h", F.col("x.item_id").alias("item_id"), F.col("x.diagonal").cast("int").alias("g")).join(F.broadcast(items) if small else items, "item_id")
@@ -99,8 +100,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all their columns."""
-    gone = leaks(docs, benchmark).select(F.col("text_key").alias("leaked_text_key")).distinct()
-    return docs.join(gone, F.xxhash64(docs["text"]) == gone["leaked_text_key"], "left_anti")
+    name = S.free_name(docs.columns, "leaked_text_key")
+    gone = leaks(docs, benchmark).select(F.col("text_key").alias(name)).distinct()
+    gone = S.Scratch(docs.sparkSession, "leaks").put("texts", gone)
+    few = gone.count() <= BROADCAST_HITS
+    return docs.join(F.broadcast(gone) if few else gone, F.xxhash64(docs["text"]) == gone[name], "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
