@@ -12,7 +12,8 @@ compared across components in blocks (``closing``), so no candidate of a bucket
 one pair for each copy.
 
 Defined cases: null texts and texts without a word have no shingles and link with nothing; a null id is kept by itself;
-repeated rows are one class; an empty table gives an empty result; other columns are passed through by ``dedup``.
+repeated rows are one class; an empty table gives an empty result; other columns, of any name, are passed through by ``dedup``; a text
+of any length is sketched whole, in memory of a few times its size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from . import _text as X
 
 BANDS, ROWS = 50, 6
 PERCENT = 80
+#: Documents, and shingles, on either side of a block of comparisons.
 BLOCK = 2048
+BLOCK_ITEMS = 2_000_000
 WORDS = 5
 _SEEDS = X.mix(np.arange(1, 2 * 4096 + 1, dtype=np.uint64) * X.U(0xD1342543DE82EF95))
 
@@ -117,14 +120,19 @@ def components(edges: DataFrame, scratch: S.Scratch) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def closing(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def closing(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, items: int = BLOCK_ITEMS) -> DataFrame:
     """Links (a, b) between members of different components of each group (lead, rep, n, c).
 
     The largest component of a group is its body; the others are queries, compared with all members in blocks of at
-    most ``block`` queries and members.  No pair becomes a row: a block returns one link for each query and component."""
-    by = rows.groupBy("lead", "c").agg(F.count("*").alias("k"))
-    body = by.groupBy("lead").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("body"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("several")).where("several > 1")
-    told = rows.join(body, "lead").withColumn("across", F.ceil((F.col("all") - F.col("most")) / block).cast("int")).withColumn("down", F.ceil(F.col("all") / block).cast("int"))
+    most about ``block`` queries and members, with about ``items`` shingles.  No pair becomes a row: a block returns one link for each query and component."""
+    by = rows.groupBy("lead", "c").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    largest = F.max(F.struct("k", -F.col("c"), "c", "m")).alias("top")
+    body = by.groupBy("lead").agg(largest, F.sum("k").alias("all"), F.sum("m").alias("size"), F.count("*").alias("several")).where("several > 1")
+    blocks = lambda k, m: F.ceil(F.greatest(k / block, m / items)).cast("int")
+    body = body.select(
+        "lead", F.col("top.c").alias("body"), blocks(F.col("all"), F.col("size")).alias("down"), blocks(F.col("all") - F.col("top.k"), F.col("size") - F.col("top.m")).alias("across")
+    )
+    told = rows.join(body, "lead")
     spot = lambda n: F.pmod(F.xxhash64("rep"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     members = told.select("lead", "rep", "c", F.lit(False).alias("query"), spot(F.col("down")).alias("d"), every(F.col("across")).alias("x"))
@@ -242,8 +250,9 @@ def classify(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def dedup(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its component; of rows that share an id, all stay."""
-    gone = classify(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_doc_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_doc_id"], "left_anti")
+    name = S.free_name(docs.columns, "gone_doc_id")
+    gone = classify(docs, k, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
