@@ -88,14 +88,17 @@ def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(id_column)), F.col(id_column)).limit(rows)
 
 
-#: Ids of a sample below this count are sent to every executor; each takes 8 bytes and a label.
+#: Ids of a sample up to this count are sent to every executor; each takes 8 bytes and a label.
 BROADCAST_IDS = 200_000
 
 
-def sample_rows(docs: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` rows of ``docs`` whose doc_id is in ``sample`` (doc_id, ...; at most ``rows`` distinct ids).
+def sample_rows(docs: DataFrame, sample: DataFrame, rows: int, features, schema: str) -> DataFrame:
+    """(doc_id, schema...) of one row of ``docs`` for each id of ``sample`` (doc_id, label; at most ``rows`` distinct ids).
 
-    Rows may share an id, so the joined rows are bounded again, by the hash of their text.  The ids are broadcast where they are
-    few, so no text is shuffled but that of the sample."""
-    got = docs.where("doc_id is not null").join(F.broadcast(sample) if rows <= BROADCAST_IDS else sample, "doc_id")
-    return got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
+    ``features`` maps batches of (doc_id, text, label) to (doc_id, h, schema...).  Of rows that share an id the one with the smallest h counts,
+    so the result is bounded too.  The ids are broadcast where they are few, so no text is shuffled."""
+    some = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(sample) if rows <= BROADCAST_IDS else sample, "doc_id")
+    some = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", F.xxhash64("text").alias("h"))
+    names = [x.split()[0] for x in schema.split(", ")]
+    got = some.mapInArrow(features, f"doc_id long, h long, {schema}").groupBy("doc_id").agg(F.min_by(F.struct(*names), "h").alias("x"))
+    return got.select("doc_id", *(F.col(f"x.{n}").alias(n) for n in names))

@@ -6,7 +6,9 @@ frequent n-grams; n-grams absent from a profile cost ``PROFILE``.  Profiles are
 of each language (those with the smallest id hash).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties in frequency are broken by n-gram
-code, ties in distance by language name; with nothing to learn from, every text is ``und``; equal texts get equal answers.
+code, ties in distance by language name; with nothing to learn from, every text is ``und``; equal texts get equal answers;
+repeated rows are answered each for itself, and of rows that share an id and a language one is learned from (the smallest hash of the
+text); an empty table gives an empty result; a text of any length is counted whole; other columns are not read.
 The score is 1 - distance / largest possible distance of the document.
 """
 
@@ -90,13 +92,14 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS, top: int = PROFILE) -> dict[str,
     """Profiles of every learned language; the driver receives ``top`` rows for each language."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (S.crc_fold("doc_id", FOLDS) != HELD))
     key = F.xxhash64("doc_id")
-    # the sample is chosen on ids alone, so no text takes part in the ranking
-    chosen = (
-        learn.select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id")))
-        .where(F.col("r") <= rows).select("lang", "doc_id")
-    )
+    # of a language with many documents only small hashes take part in the ranking, about four for each that is chosen
+    many = learn.groupBy("lang").agg(F.count("*").alias("n"))
+    small = (key.cast("double") + 2.0**63) * F.col("n") <= 2.0**64 * 4 * rows
+    ids = learn.select("lang", "doc_id").join(many, "lang").where(small).select("lang", "doc_id").distinct()
+    chosen = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))).where(F.col("r") <= rows).select("lang", "doc_id")
     some = learn.select("doc_id", "lang", "text").join(chosen, ["lang", "doc_id"], "left_semi")
-    counts = some.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    one = some.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    counts = one.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= top)
     out: dict[str, dict[int, int]] = {}
     for row in best.select("lang", "gram", "r").collect():

@@ -6,7 +6,9 @@ with the smallest id hash); scored in Arrow batches over whole texts, from the t
 
 Defined cases: null and empty texts have all-zero statistics and get the model's score for those; equal texts get equal
 scores; with labels of one class or none every score is the smoothed label mean (0.5 without labels); an empty table gives
-an empty result.
+an empty result; repeated labels of an id count as good if one of them does, and of rows that share a labelled id one is learned from
+(the smallest hash of the text); splits of equal gain take the first feature and the lowest edge; a text of any length is counted
+whole, in memory of a few times its size; other columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +101,8 @@ def _featured(batches):
         for i, n, buf, off in X.slices(batch.column("text")):
             x = _stats.features(buf, off)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").slice(i, n).cast(pa.int32()), X.list_array(pa.array(x.ravel()), np.full(n, x.shape[1]))], ["label", "x"]
+                [*(batch.column(c).slice(i, n) for c in ("doc_id", "h")), batch.column("label").slice(i, n).cast(pa.int32()), X.list_array(pa.array(x.ravel()), np.full(n, x.shape[1]))],
+                ["doc_id", "h", "label", "x"],
             )
 
 
@@ -110,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
         .groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("label"))
     )
     some = S.bounded_sample(lab, "doc_id", rows)
-    got = some.join(docs.select("doc_id", "text"), "doc_id").select("label", "text").mapInArrow(_featured, "label int, x array<float>").toArrow()
+    got = S.sample_rows(docs, some, rows, _featured, "label int, x array<float>").select("label", "x").toArrow()
     if not got.num_rows:
         return grow(np.zeros((0, len(_stats.FEATURES)), np.float32), np.zeros(0))
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)

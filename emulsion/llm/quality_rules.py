@@ -6,7 +6,9 @@ that the fit did not see, and scored in Arrow batches over every whole text.
 
 Defined cases: a null text counts as empty; an empty text has zero counts, fails the base (under ``MIN_WORDS`` words)
 and is rejected; repeated rows are scored each for itself; an empty table gives an empty result; with no labels of both
-classes the verdict is the base rules' alone (score 1.0); extra columns stay out of the way.
+classes the verdict is the base rules' alone (score 1.0); of rows that share a labelled id one is learned from (the smallest hash of
+the text); a text of any length is counted whole, in memory of a few times its size; ``score`` reads no other column, ``keep`` keeps
+all of them, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,11 +89,11 @@ def _sparse(batches):
             sizes = np.bincount(k // DIM, minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("label").slice(i, n).cast(pa.int32()),
+                    *(batch.column(c).slice(i, n) for c in ("doc_id", "h")), batch.column("label").slice(i, n).cast(pa.int32()),
                     X.list_array(pa.array((k % DIM).astype(np.int32)), sizes),
                     X.list_array(pa.array(v.astype(np.float32)), sizes),
                 ],
-                ["label", "idx", "val"],
+                ["doc_id", "h", "label", "idx", "val"],
             )
 
 
@@ -146,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
         .groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("label"))
     )
     some = S.bounded_sample(lab, "doc_id", rows)
-    data = some.join(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-    got = data.select("label", "text").mapInArrow(_sparse, "label int, idx array<int>, val array<float>").toArrow()
+    data = S.sample_rows(docs, some, rows, _sparse, "label int, idx array<int>, val array<float>").orderBy(F.xxhash64("doc_id"), "doc_id")
+    got = data.select("label", "idx", "val").toArrow()
     if not got.num_rows:
         return None
     idx, val = got["idx"].combine_chunks(), got["val"].combine_chunks()
@@ -192,7 +194,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
                 ok = (nw >= MIN_WORDS) & (100 * nr <= MAX_REPEAT_PERCENT * nw) & (p >= threshold)
                 yield batch.slice(i, n).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, schema)
+    return S.map_batches(docs, run, schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
