@@ -12,11 +12,12 @@ Both kinds of model file are read from their own bytes:
 Characters without a piece become byte pieces (or the unknown id).
 
 A piece never continues across a word mark that follows another character, nor from a letter to a character that no piece
-joins to letters, so paths always meet there; equal words between such places are encoded once and remembered (two
-generations of MEMO words at most).
+joins to letters, so all paths meet there and the search commits; what it gives for equal words between such places is
+remembered (two generations of MEMO words at most).
 
 Defined cases: a null text is the empty text and has no ids; rows stand for themselves, so ids may repeat or be null; an empty table gives
-an empty result; extra columns are kept by ``roundtrip``.
+an empty result; texts of any length are encoded whole; ``roundtrip`` keeps all columns and appends underscores to the names of its own
+where a column has them.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark as S
+from ._text import list_array
 from .token_output import public_tokenizer
 
 MARK = "▁"
-MEMO = 300_000
+MEMO = 600_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -124,9 +126,14 @@ class Codec:
     def __init__(self, data: bytes):
         self.model = Model(data)
         self.pairs: dict[int, bool] = {}
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         m = self.model
+        raw = [x.encode() for x in m.pieces]
+        self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.piece_size = np.array([len(x) for x in raw], np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.plain = np.array(m.types) == NORMAL
         # characters that pieces join only to one another (and to a mark before them)
         apart = {chr(c) for c in range(33, 127) if not chr(c).isalnum()} | set("\n\t\r")
         while True:
@@ -146,11 +153,11 @@ class Codec:
                     self.parts[i] = top or None
             self.usable = {p: i for p, i in m.index.items() if i in self.parts}
             self.born = {i: -1.0 if len(p) == 1 else -m.scores[i] for p, i in m.index.items()}
-            # piece -> id, and -1 for what only begins a piece
-            self.table = dict.fromkeys((p[:n] for p in self.usable for n in range(1, len(p))), -1) | self.usable
         else:
             self.usable = m.index
             m.scores = [np.float32(x) for x in m.scores]  # sums round as in the library
+        # piece -> id, and -1 for what only ends a piece
+        self.table = dict.fromkeys((p[n:] for p in self.usable for n in range(1, len(p))), -1) | self.usable
 
     # ---- byte-pair compatibility
     def _merge(self, symbols: list[str], until: int = 1) -> list[str]:
@@ -202,42 +209,6 @@ class Codec:
         self.pairs[key] = known
         return known
 
-    def short(self, word: str) -> tuple[int, ...]:
-        """What ``stream`` gives for a word that fits its window, without the bookkeeping of commits."""
-        n = len(word)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        table, pairs, start = self.table.get, self.pairs.get, 0
-        out: list[int] = []
-
-        def settle(to: int) -> None:
-            path = []
-            while to > start:
-                path.append(last[to])
-                to = back[to]
-            out.extend(reversed(path))
-
-        for q in range(n):
-            u = last[q] if q > start else None
-            if u is None and q > start:
-                continue
-            for e in range(q + 1, n + 1):
-                t = table(word[q:e])
-                if t is None:
-                    break
-                if t >= 0 and last[e] is None:
-                    if u is not None:
-                        ok = pairs(u << 32 | t)
-                        if not (ok or (ok is None and self.compatible(u, t))):
-                            continue
-                    last[e], back[e] = t, q
-            if last[q + 1] is None and table(word[q], -1) < 0:
-                settle(q)
-                out.extend(self.unknown_ids(word[q]))
-                start = q + 1
-        settle(n)
-        return tuple(out)
-
     # ---- the search
     def unknown_ids(self, ch: str) -> tuple[int, ...]:
         m = self.model
@@ -248,9 +219,9 @@ class Codec:
 
         Positions count from the last commit.  last[p] is the best piece that ends at p, or None where no path ends;
         a character without a piece is a boundary that all paths share."""
-        m, usable, bpe = self.model, self.usable, self.model.kind == BPE
+        m, usable, bpe, table, pairs = self.model, self.usable, self.model.kind == BPE, self.table.get, self.pairs.get
         longest = m.longest
-        window = ""
+        window, p = "", 0
         last: list[int | None] = [None]
         back: list[int] = [0]
         cost: list[float] = [0.0]
@@ -265,30 +236,32 @@ class Codec:
 
         for ch in chars:
             window += ch
-            p = len(window)
+            p += 1
             best, frm, top = None, -1, 0.0
-            for n in range(1, min(longest, p) + 1):
-                if not live[p - n]:
-                    continue
-                t = usable.get(window[p - n :])
+            for q in range(p - 1, max(p - longest, 0) - 1, -1):
+                t = table(window[q:])
                 if t is None:
+                    break  # no longer piece ends so
+                if t < 0 or not live[q]:
                     continue
                 if bpe:
-                    u = last[p - n]
-                    if u is None or self.compatible(u, t):
-                        best, frm = t, p - n
-                        break
-                else:
-                    s = cost[p - n] + m.scores[t]
-                    if best is None or s >= top:
-                        best, frm, top = t, p - n, s
+                    u = last[q]
+                    if u is not None:
+                        ok = pairs(u << 32 | t)
+                        if not (ok or (ok is None and self.compatible(u, t))):
+                            continue
+                    best, frm = t, q
+                    break
+                s = cost[q] + m.scores[t]
+                if best is None or s >= top:
+                    best, frm, top = t, q, s
             single = usable.get(ch)
             if single is None:
                 if bpe and best is None:
                     # nothing merges with such a character: all before it is settled
                     yield from path(p - 1)
                     yield from self.unknown_ids(ch)
-                    window, last, back, cost, live = "", [None], [0], [0.0], [True]
+                    window, p, last, back, cost, live = "", 0, [None], [0], [0.0], [True]
                     continue
                 if not bpe and live[p - 1]:
                     s = cost[p - 1] + m.floor
@@ -311,7 +284,7 @@ class Codec:
                     for t in path(at):
                         yield from (t,) if t >= 0 else self.unknown_ids(chr(-t - 1))
                     prior = last[at]
-                    window = window[at:]
+                    window, p = window[at:], p - at
                     last, back, cost, live = last[at:], [b - at for b in back[at:]], cost[at:], live[at:]
                     last[0], back[0] = (prior if bpe else None), 0
                     base = cost[0]
@@ -320,26 +293,41 @@ class Codec:
             yield from (t,) if t >= 0 else self.unknown_ids(chr(-t - 1))
 
     # ---- texts
+    def _search(self, word: str) -> bytes:
+        """The ids of a word, as little-endian 32-bit numbers."""
+        known = self.new.get(word) or self.old.get(word) or np.fromiter(self.stream(word), "<i4").tobytes()
+        if len(word) <= 64:
+            if len(self.new) >= MEMO:
+                self.old, self.new = self.new, {}
+            self.new[word] = known
+        return known
+
+    def ids(self, text: str | None) -> np.ndarray:
+        words = self.words.findall(self.model.normalise(text or ""))
+        parts = list(map(self.new.get, words))
+        if None in parts:
+            parts = [self._search(w) if x is None else x for w, x in zip(words, parts, strict=True)]
+        return np.frombuffer(b"".join(parts), "<i4")
+
     def encode(self, text: str | None) -> list[int]:
-        text = self.model.normalise(text or "")
-        out: list[int] = []
-        new, old = self.new, self.old
-        for w in self.words.findall(text):
-            ids = new.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    ids = self.short(w) if self.model.kind == BPE and len(w) <= 64 else tuple(self.stream(w))
-                if len(w) <= 64:
-                    new[w] = ids
-                    if len(new) > MEMO:
-                        self.old, self.new = new, {}
-                        new, old = self.new, self.old
-            out += ids
-        return out
+        return self.ids(text).tolist()
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, one for each byte; control ids are silent."""
+        m = self.model
+        ids = np.asarray(ids, np.int64)
+        if self.plain[ids].all():  # the pieces' bytes one after another
+            size = self.piece_size[ids]
+            end = np.cumsum(size)
+            at = np.repeat(self.piece_start[ids] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
+            text = self.piece_bytes[at].tobytes().decode()
+        else:
+            text = self._decode_odd(ids.tolist())
+        if m.escape:
+            text = text.replace(MARK, " ")
+        return text[1:] if m.dummy_prefix and text.startswith(" ") else text
+
+    def _decode_odd(self, ids: list[int]) -> str:
         m = self.model
         parts: list[str] = []
         raw = bytearray()
@@ -357,10 +345,7 @@ class Codec:
                 parts.append(m.pieces[i])
         if raw:
             parts.append(_utf8(bytes(raw)))
-        text = "".join(parts)
-        if m.escape:
-            text = text.replace(MARK, " ")
-        return text[1:] if m.dummy_prefix and text.startswith(" ") else text
+        return "".join(parts)
 
 
 def _utf8(raw: bytes) -> str:
@@ -399,10 +384,8 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [x.as_py() or "" for x in part.column("text")]
-                ids = [np.array(c.encode(t), np.int32) for t in texts]
-                same = [c.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
-                from ._text import list_array
-
+                ids = [c.ids(t) for t in texts]
+                same = [c.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), list_array(pa.array(np.concatenate(ids)), [len(i) for i in ids]), pa.array(same)], ["doc_id", "ids", "same"]
                 )
@@ -411,11 +394,11 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
 
 def roundtrip(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with columns token_ids (array<int>), n_tokens and decoded (the text read back from the ids)."""
+    """``docs`` with new columns token_ids (array<int>), n_tokens and decoded (the text read back from the ids)."""
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-    added = {"token_ids": ArrayType(IntegerType()), "n_tokens": LongType(), "decoded": StringType()}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
+    kinds = {"token_ids": ArrayType(IntegerType()), "n_tokens": LongType(), "decoded": StringType()}
+    added = {S.free_name(docs.columns, name): kind for name, kind in kinds.items()}
     schema = StructType(list(docs.schema.fields))
     for name, kind in added.items():
         schema = schema.add(name, kind)
@@ -425,11 +408,12 @@ def roundtrip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [c.encode(x.as_py()) for x in part.column("text")]
-                cols = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())]
+                ids = [c.ids(x.as_py()) for x in part.column("text")]
+                size = [len(i) for i in ids]
+                cols = [list_array(pa.array(np.concatenate(ids)), size), pa.array(size, pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return S.map_batches(docs, run, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,8 +427,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows = []
                 for x in part.column("text"):
                     t = x.as_py() or ""
-                    ids = c.encode(t)
-                    rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), c.decode(ids) == t.replace(MARK, " ")))
+                    ids = c.ids(t)
+                    rows.append((len(ids), zlib.crc32(ids.tobytes()), c.decode(ids) == t.replace(MARK, " ")))
                 n, crc, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decodes"])
 
