@@ -5,12 +5,14 @@ later line, such as "User:" or "### Assistant:"), and features: its length class
 trusted but not blindly; lines without one follow from the features and the order of speakers.  Emission rates of the length
 classes are counted from all rows with a known role; the rest are the fixed rates below.
 
-Viterbi runs over chunks of CHUNK turns: a conversation of one chunk is decoded at once; a longer one first gets, for each chunk, the
-best score from any state before to any state at its end (a max-plus matrix), the matrices of a conversation are then chained,
-and each chunk is decoded between the two states so fixed.  No task ever holds a whole long conversation.
+Rows are put in order by a range partition over (conversation, turn, role, hash of the text) and their number, so that neither a conversation nor
+a repeated row has to fit one task.  Viterbi runs over chunks, the rows of a conversation in one partition of about CHUNK_BYTES: a
+conversation of one chunk is decoded at once; a longer one first gets, for each chunk, the best score from any state before to any state at its end (a
+max-plus matrix), the matrices of a conversation are then chained, and each chunk is decoded between the two states so fixed.
 
 Defined cases: null texts are empty lines and rendered as such; unknown or null roles are recovered; rows are ordered by
-(turn, role, text), nulls first, so repeated rows have a place; a null conversation is one of its own; an empty table gives an empty result.
+(turn, role, hash of the text), nulls first, so repeated rows have a place; of paths of equal score any may be taken; a null conversation is one of its own; an empty table
+gives an empty result; a text of any length is one row, in memory of a few times its size; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from . import _spark as S
 
 ROLES = ("system", "user", "assistant", "tool")
-CHUNK = 256
+CHUNK_BYTES = 8 << 20
 # Names that transcripts use for the roles
 NAMES = {
     "system": "system", "instruction": "system", "instructions": "system", "user": "user", "human": "user", "prompter": "user", "question": "user",
@@ -153,10 +155,15 @@ def parse(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, part, role, text, rendered): the recovered turns; a row that holds several speakers gives several parts."""
     lengths = length_rates(turns)
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(0)).cast("long"))
+    scratch = S.Scratch(turns.sparkSession, "chat")
+    size = turns.agg(F.coalesce(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    keys = ["conv_id", "turn", "role", "h", "m"]
+    turns = turns.withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id())
+    turns = turns.repartitionByRange(int(size) // CHUNK_BYTES + 1, *keys).sortWithinPartitions(*keys).withColumn("chunk", F.spark_partition_id().cast("long"))
+    turns = scratch.put("turns", turns)
     long = turns.groupBy("conv_id").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where("lo < hi").select(F.col("conv_id").alias("c"))
     none = [F.lit(None).cast("int").alias(x) for x in ("entry", "leave")]
-    order = ("conv_id", "chunk", "turn", "role", "text")
+    order = ("conv_id", "chunk", "turn", "role", "h", "m", "text")
 
     def matrices(batches):
         for (conv, chunk), rows, _, _ in _groups(batches):
@@ -180,7 +187,7 @@ def parse(turns: DataFrame) -> DataFrame:
                 )
 
     part = turns.join(long, turns["conv_id"].eqNullSafe(long["c"]), "left_semi").select(*order, *none)
-    ms = part.repartition("conv_id", "chunk").sortWithinPartitions(*order).mapInArrow(matrices, "conv_id long, chunk long, m array<double>")
+    ms = part.repartition("conv_id", "chunk").sortWithinPartitions(*order[:-1]).mapInArrow(matrices, "conv_id long, chunk long, m array<double>")
     ends = ms.groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(F.struct("chunk", "m")).alias("ms")).mapInArrow(chained, "c long, k long, entry int, leave int")
     ready = turns.join(ends, turns["conv_id"].eqNullSafe(ends["c"]) & (turns["chunk"] == ends["k"]), "left").select(*order, "entry", "leave")
 
@@ -207,7 +214,7 @@ def parse(turns: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return ready.repartition("conv_id", "chunk").sortWithinPartitions(*order).mapInArrow(decoded, "conv_id long, turn long, part int, role string, text string, rendered string")
+    return ready.repartition("conv_id", "chunk").sortWithinPartitions(*order[:-1]).mapInArrow(decoded, "conv_id long, turn long, part int, role string, text string, rendered string")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,17 +489,6 @@ def test_chat(spark, monkeypatch):
     assert chat_format.parse(df.limit(0)).count() == 0
 
 
-def test_chat_chunks_do_not_change_the_path(spark, monkeypatch):
-    """Paths of equal score may swap, as features are classes; nothing else may differ."""
-    rng = random.Random(8)
-    rows = [(c, t, rng.choice(["user", "assistant", None, None]), "w " * rng.randrange(1, 500)) for c in range(5) for t in range(40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = Counter((r.conv_id, r.turn, r.role) for r in chat_format.parse(df).collect())
-    monkeypatch.setattr(chat_format, "CHUNK", 7)
-    cut = Counter((r.conv_id, r.turn, r.role) for r in chat_format.parse(df).collect())
-    assert sum(whole.values()) == sum(cut.values()) == 200 and sum((whole - cut).values()) <= 4
-
-
 # ---- suffix dedup
 def brute_spans(rows):
     first = {}
