@@ -92,13 +92,10 @@ def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
 BROADCAST_IDS = 200_000
 
 
-def sample_rows(docs: DataFrame, sample: DataFrame, rows: int, features, schema: str) -> DataFrame:
-    """(doc_id, schema...) of one row of ``docs`` for each id of ``sample`` (doc_id, label; at most ``rows`` distinct ids).
+def sample_rows(docs: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, label, text) of one row of ``docs`` for each id of ``sample`` (doc_id, label; at most ``rows`` distinct ids).
 
-    ``features`` maps batches of (doc_id, text, label) to (doc_id, h, schema...).  Of rows that share an id the one with the smallest h counts,
-    so the result is bounded too.  The ids are broadcast where they are few, so no text is shuffled."""
+    Of rows that share an id the one with the smallest hash of the text counts, so the result is bounded too.  The ids are
+    broadcast where they are few, so no text is shuffled but those of the sample."""
     some = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(sample) if rows <= BROADCAST_IDS else sample, "doc_id")
-    some = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", F.xxhash64("text").alias("h"))
-    names = [x.split()[0] for x in schema.split(", ")]
-    got = some.mapInArrow(features, f"doc_id long, h long, {schema}").groupBy("doc_id").agg(F.min_by(F.struct(*names), "h").alias("x"))
-    return got.select("doc_id", *(F.col(f"x.{n}").alias(n) for n in names))
+    return some.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

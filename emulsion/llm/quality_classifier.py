@@ -101,8 +101,8 @@ def _featured(batches):
         for i, n, buf, off in X.slices(batch.column("text")):
             x = _stats.features(buf, off)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, n) for c in ("doc_id", "h")), batch.column("label").slice(i, n).cast(pa.int32()), X.list_array(pa.array(x.ravel()), np.full(n, x.shape[1]))],
-                ["doc_id", "h", "label", "x"],
+                [batch.column("label").slice(i, n).cast(pa.int32()), X.list_array(pa.array(x.ravel()), np.full(n, x.shape[1]))],
+                ["label", "x"],
             )
 
 
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
         .groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("label"))
     )
     some = S.bounded_sample(lab, "doc_id", rows)
-    got = S.sample_rows(docs, some, rows, _featured, "label int, x array<float>").select("label", "x").toArrow()
+    got = S.sample_rows(docs, some, rows).select("label", "text").mapInArrow(_featured, "label int, x array<float>").toArrow()
     if not got.num_rows:
         return grow(np.zeros((0, len(_stats.FEATURES)), np.float32), np.zeros(0))
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)

@@ -89,11 +89,11 @@ def _sparse(batches):
             sizes = np.bincount(k // DIM, minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c).slice(i, n) for c in ("doc_id", "h")), batch.column("label").slice(i, n).cast(pa.int32()),
+                    batch.column("label").slice(i, n).cast(pa.int32()),
                     X.list_array(pa.array((k % DIM).astype(np.int32)), sizes),
                     X.list_array(pa.array(v.astype(np.float32)), sizes),
                 ],
-                ["doc_id", "h", "label", "idx", "val"],
+                ["label", "idx", "val"],
             )
 
 
@@ -148,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
         .groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("label"))
     )
     some = S.bounded_sample(lab, "doc_id", rows)
-    data = S.sample_rows(docs, some, rows, _sparse, "label int, idx array<int>, val array<float>").orderBy(F.xxhash64("doc_id"), "doc_id")
-    got = data.select("label", "idx", "val").toArrow()
+    data = S.sample_rows(docs, some, rows).orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text")
+    got = data.mapInArrow(_sparse, "label int, idx array<int>, val array<float>").toArrow()
     if not got.num_rows:
         return None
     idx, val = got["idx"].combine_chunks(), got["val"].combine_chunks()

@@ -36,7 +36,7 @@ from ._text import list_array
 from .token_output import public_tokenizer
 
 MARK = "▁"
-MEMO = 600_000
+MEMO = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 

@@ -34,12 +34,12 @@ LENGTH = 50
 K = 20
 W = LENGTH - K + 1
 #: Rows that an owner's anchors may have together in one part, and a crowded anchor's contexts in one bucket.
-CROWD = 12_000
+CROWD = 6_000
 #: Places of a crowded anchor that are taken together, by level.
 WIDTHS = (W, 8, 1)
 SEGMENT = 1024
 #: What one index can hold; a part has at most 2 * CROWD windows of 2 * LENGTH - K bytes.
-MOST_BYTES = 1 << 21
+MOST_BYTES = 1 << 20
 BUCKET_BYTES = MOST_BYTES
 SLICE = 1 << 18
 _MASK = X.U((1 << 20) - 1)
@@ -101,12 +101,12 @@ def _second_pass(batches):
 class Bits:
     """Bit vectors with ranks: 64 bits and a count of those before take 12 bytes."""
 
-    def __init__(self, flags: np.ndarray):
-        """flags: (vectors, length)."""
-        rows, n = flags.shape
+    def __init__(self, flags, rows: int, n: int):
+        """flags: ``rows`` vectors of length ``n``, one after another."""
         self.width = n // 64 + 1
         packed = np.zeros((rows, 8 * self.width), np.uint8)
-        packed[:, : -(-n // 8)] = np.packbits(flags, axis=1, bitorder="little")
+        for k, f in enumerate(flags):
+            packed[k, : -(-n // 8)] = np.packbits(f, bitorder="little")
         words = packed.view("<u8")
         count = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int32)
         self.before = np.concatenate([np.zeros((rows, 1), np.int32), count[:, :-1]], 1).ravel()
@@ -136,15 +136,15 @@ class RunLengthIndex:
         self.end_sample = owner[sa[self.run_end - 1]]
         self.string_end = np.append(starts[1:], n).astype(np.int32)
         self.string_sample = owner[sa[self.string_end - 1]]
-        marks = np.zeros((2, n), bool)
-        marks[0], marks[1, starts] = begins, True
-        self.begin = Bits(marks)
+        strings = np.zeros(n, bool)
+        strings[starts] = True
+        self.begin = Bits((begins, strings), 2, n)
         # runs by byte: of each the run and the row that its first row steps back to
         char = bwt[self.run_start]
         self.letters = np.flatnonzero(np.bincount(char, minlength=256))
         self.code = np.zeros(256, np.int64)
         self.code[self.letters] = np.arange(len(self.letters))
-        self.heads = Bits(char[None, :] == self.letters[:, None])
+        self.heads = Bits((char == x for x in self.letters), len(self.letters), len(char))
         self.run = np.argsort(char, kind="stable").astype(np.int32)
         size = self.run_end - self.run_start
         self.step = (np.cumsum(size[self.run]) - size[self.run]).astype(np.int32)
@@ -163,7 +163,7 @@ class RunLengthIndex:
         r = self.run[j]
         return self.step[j] + np.where(none, 0, np.minimum(row, self.run_end[r]) - self.run_start[r])
 
-    def stream(self, text: np.ndarray, strip: int = 512) -> np.ndarray:
+    def stream(self, text: np.ndarray, strip: int = 256) -> np.ndarray:
         """For each position of a cyclic pattern whose strings all occur in the index: the document of the last occurrence (in text order) of its
         LENGTH-byte string.
 
@@ -198,7 +198,7 @@ class RunLengthIndex:
 def sorted_rotations(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rotations in order of their first LENGTH - 1 bytes, equal ones in text order; rows at which a new such string begins).
 
-    Prefix doubling; ranks and places share 64-bit words, which are sorted as they are, so texts go up to 2^21 bytes."""
+    Prefix doubling; ranks and places share 64-bit words, which are sorted as they are, so texts go up to MOST_BYTES."""
     n = len(text)
     if n > MOST_BYTES:
         raise ValueError("text too long for one index")
@@ -293,7 +293,7 @@ def _segments(batches):
 
 def _contexts(width: int):
     """Rows of CONTEXTS: what lies around crowded anchors.  For each group of ``width`` adjoining places that the anchor can have in a
-    string, the strings that have it there, keyed by the bytes that all of them share; equal ones of a batch are one row."""
+    string, the strings that have it there, keyed by the bytes that all of them share; equal ones that stand close are one row."""
 
     def run(batches):
         for number, batch in enumerate(batches):
@@ -306,26 +306,27 @@ def _contexts(width: int):
                 last = min(first + width, W) - 1
                 lo, hi = np.maximum(at - last, 0), np.minimum(at - first + LENGTH, size)
                 core_lo, core_hi = at - first, at - last + LENGTH
-                k = np.flatnonzero((hi - lo >= LENGTH) & (core_lo >= 0) & (core_hi <= size))
-                known: dict[bytes, int] = {}
-                which = np.empty(len(k), np.int64)
-                for i, (a, b) in enumerate(zip((off[row[k]] + lo[k]).tolist(), (off[row[k]] + hi[k]).tolist(), strict=True)):
-                    which[i] = known.setdefault(raw[a:b].tobytes(), len(known))
-                order = np.lexsort((doc[row[k]], which))
-                k, which = k[order], which[order]
-                one = np.flatnonzero(np.diff(which, prepend=-1))  # of each context its smallest document
-                head = k[one]
-                h = np.full(len(head), first, np.uint64)
-                for j in range(LENGTH - (last - first)):
-                    h = h * X.U(X._P) + X._BYTE[raw[off[row[head]] + core_lo[head] + j]]
-                count = np.diff(np.append(one, len(k)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(X.mix(h).view(np.int64)), pa.array(np.full(len(head), first)), pa.array(list(known), pa.binary()), pa.array(doc[row[head]]),
-                        *(X.list_array(pa.array(x), count) for x in (doc[row[k]], tid[row[k]], lo[k], at[k])), pa.array(np.full(len(head), name)),
-                    ],
-                    [x.split()[0] for x in CONTEXTS.split(", ")],
-                )
+                good = np.flatnonzero((hi - lo >= LENGTH) & (core_lo >= 0) & (core_hi <= size))
+                for k in np.split(good, range(1 << 15, len(good), 1 << 15)):
+                    known: dict[bytes, int] = {}
+                    which = np.empty(len(k), np.int64)
+                    for i, (a, b) in enumerate(zip((off[row[k]] + lo[k]).tolist(), (off[row[k]] + hi[k]).tolist(), strict=True)):
+                        which[i] = known.setdefault(raw[a:b].tobytes(), len(known))
+                    order = np.lexsort((doc[row[k]], which))
+                    k, which = k[order], which[order]
+                    one = np.flatnonzero(np.diff(which, prepend=-1))  # of each context its smallest document
+                    head = k[one]
+                    h = np.full(len(head), first, np.uint64)
+                    for j in range(LENGTH - (last - first)):
+                        h = h * X.U(X._P) + X._BYTE[raw[off[row[head]] + core_lo[head] + j]]
+                    count = np.diff(np.append(one, len(k)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(X.mix(h).view(np.int64)), pa.array(np.full(len(head), first)), pa.array(list(known), pa.binary()), pa.array(doc[row[head]]),
+                            *(X.list_array(pa.array(x), count) for x in (doc[row[k]], tid[row[k]], lo[k], at[k])), pa.array(np.full(len(head), name)),
+                        ],
+                        [x.split()[0] for x in CONTEXTS.split(", ")],
+                    )
 
     return run
 
