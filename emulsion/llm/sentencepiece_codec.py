@@ -36,7 +36,7 @@ from ._text import list_array
 from .token_output import public_tokenizer
 
 MARK = "▁"
-MEMO = 300_000
+MEMO = 450_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -112,13 +112,18 @@ class Model:
         self.longest = max((len(p) for p in self.index), default=1)
         self.floor = min((self.scores[i] for i in self.index.values()), default=0.0) - 10.0
 
-    def normalise(self, text: str) -> str:
+    def spaced(self, text: str) -> str:
+        """The normalised text with spaces for word marks: most texts then take a byte for each character."""
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
         if self.dummy_prefix:
             text = " " + text
+        return text.replace(MARK, " ") if self.escape else text
+
+    def normalise(self, text: str) -> str:
+        text = self.spaced(text)
         return text.replace(" ", MARK) if self.escape else text
 
 
@@ -143,7 +148,8 @@ class Codec:
             apart -= joined
         apart = "".join(sorted(apart))
         apart = re.escape(apart)
-        self.words = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}*[{apart}]+|{MARK}+")
+        mark = " " if m.escape else MARK
+        self.words = re.compile(f"{mark}*[^{mark}{apart}]+|{mark}*[{apart}]+|{mark}+")
         if m.kind == BPE:
             # a piece that merging its own characters does not give can be no part of a result
             self.parts: dict[int, tuple[int, int] | None] = {}
@@ -295,7 +301,7 @@ class Codec:
     # ---- texts
     def _search(self, word: str) -> bytes:
         """The ids of a word, as little-endian 32-bit numbers."""
-        known = self.new.get(word) or self.old.get(word) or np.fromiter(self.stream(word), "<i4").tobytes()
+        known = self.new.get(word) or self.old.get(word) or np.fromiter(self.stream(word.replace(" ", MARK) if self.model.escape else word), "<i4").tobytes()
         if len(word) <= 64:
             if len(self.new) >= MEMO:
                 self.old, self.new = self.new, {}
@@ -303,7 +309,7 @@ class Codec:
         return known
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = self.words.findall(self.model.normalise(text or ""))
+        words = self.words.findall(self.model.spaced(text or ""))
         parts = list(map(self.new.get, words))
         if None in parts:
             parts = [self._search(w) if x is None else x for w, x in zip(words, parts, strict=True)]
