@@ -293,7 +293,7 @@ def _segments(batches):
 
 def _contexts(width: int):
     """Rows of CONTEXTS: what lies around crowded anchors.  For each group of ``width`` adjoining places that the anchor can have in a
-    string, the strings that have it there, keyed by the bytes that all of them share; equal ones that stand close are one row."""
+    string, the strings that have it there, keyed by the bytes that all of them share; equal ones of a batch are one row (or a few)."""
 
     def run(batches):
         for number, batch in enumerate(batches):
@@ -301,12 +301,16 @@ def _contexts(width: int):
             doc, tid = (batch.column(c).to_numpy() for c in ("doc_id", "tid"))
             row, at = _marks(batch, "at")
             name = (TaskContext.get().partitionId() << 32) + number
+            anchor = np.zeros(len(at), np.uint64)
+            for j in range(K):
+                anchor = anchor * X.U(X._P) + X._BYTE[raw[off[row] + at + j]]
             at, size = at.astype(np.int64), np.diff(off)[row]
             for first in range(0, W, width):
                 last = min(first + width, W) - 1
                 lo, hi = np.maximum(at - last, 0), np.minimum(at - first + LENGTH, size)
                 core_lo, core_hi = at - first, at - last + LENGTH
                 good = np.flatnonzero((hi - lo >= LENGTH) & (core_lo >= 0) & (core_hi <= size))
+                good = good[np.argsort(anchor[good], kind="stable")]  # what may be equal stands together
                 for k in np.split(good, range(1 << 15, len(good), 1 << 15)):
                     known: dict[bytes, int] = {}
                     which = np.empty(len(k), np.int64)
@@ -484,7 +488,8 @@ def _crowded(texts: DataFrame, marks: DataFrame, scratch: S.Scratch, crowd: int)
         heads = scratch.put(f"heads{level}", heads)
         groups = heads.groupBy("key", "part").agg(F.count("*").alias("rows"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         groups = scratch.put(f"groups{level}", groups.where("lo < hi"))  # of the heads of one document none is a match
-        tight, wide = groups.where(F.col("rows") <= crowd).select("key", "part"), groups.where(F.col("rows") > crowd).select("key", "part")
+        fits = F.col("rows") <= 2 * crowd  # as a part has at most
+        tight, wide = groups.where(fits).select("key", "part"), groups.where(~fits).select("key", "part")
         found = heads.join(tight, ["key", "part"], "left_semi").select(*(x.split()[0] for x in SEGMENTS.split(", ")))
         found = found.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_buckets, "tid long, lo long, hi long")
         got = copies.union(found.select("tid", F.array(F.struct("lo", "hi"))))
