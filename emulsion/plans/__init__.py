@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with the SQL that checks them."""
 
-from . import bindings_checks  # noqa: F401  (adds its queries)
+from . import bindings_camera, bindings_checks  # noqa: F401  (add their queries)
 from .bindings import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
