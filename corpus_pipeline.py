@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of documents; the last adds token_ids, n_tokens and decoded.
+
+Defined cases, of every stage: null and empty texts go at the quality rules (too few words) and are kept as they are by the
+other stages; a null id is a row of its own, never the copy of another; rows that share an id are judged by their own texts and, in
+near-dedup, stay together; texts of any length are taken whole; an empty table gives an empty one; empty labels leave the
+base rules alone, an empty benchmark removes nothing; further columns, of any name, are kept, and the last stage appends
+underscores to the names of its own where a column has them.
 """
 
 from __future__ import annotations
