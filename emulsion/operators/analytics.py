@@ -1,7 +1,9 @@
 """Benchmark analytics over samples grouped by key columns.
 
-Scale: every summary is a grouped aggregate or a window by group.  A group's exact percentiles need its values together; counts,
-sums and extremes combine on the map side.  The bootstrap is a grouped Python function over one group's values."""
+Scale: counts, sums and extremes combine on the map side.  Ranks, and so exact percentiles, trimmed means and MADs, come from counts
+by value: equal values become one row before the shuffle, and a group is cut into ranges of its values, so no task holds a group.
+Where ranges are cut doesn't depend on the data, so a task that runs again finds the same ones.  Null keys are a group, null values
+count for nothing.  The bootstrap alone is a grouped Python function over one group's values."""
 
 from __future__ import annotations
 
@@ -19,6 +21,8 @@ BASE_SEED = 0x52524148
 RESAMPLES = 10_000
 STATISTICS = ("mean", "p50", "p95", "p99")
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Ranges of values for each doubling; a group has at most about 4.3 million, whatever its rows.
+RANGES = 1024
 #: Places drawn at a time; bounds the memory of a task beside the group itself.
 BLOCK_DRAWS = 1 << 18
 
@@ -37,26 +41,76 @@ def samples(rows: DataFrame) -> DataFrame:
     return out.withColumns({c: text(c) for c in ("fixture", "mode", "workers", "backend")})
 
 
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys where null is a key like others."""
+    named = other.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] or [F.lit(True)]
+    return rows.join(named, same, how).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
 def after_warmup(rows: DataFrame, keys: list[str], order: list[str], discard: int) -> DataFrame:
-    """Without the first ``discard`` rows of each group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > discard).drop("_n")
+    """Without the first ``discard`` rows of each group; of rows equal in ``order`` any may go.
+
+    Only the first rows of each partition are ranked; they give the last place that goes, and rows are compared with it."""
+    if discard <= 0:
+        return rows
+    place = F.struct(*order)
+    first = rows.select(*keys, place.alias("_at")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))).where(F.col("_n") <= discard)
+    last = first.groupBy(*keys).agg(F.max("_at").alias("_last"), F.collect_list("_at").alias("_all"))
+    last = last.select(*keys, "_last", F.size(F.filter("_all", lambda x: x == F.col("_last"))).alias("_go"))
+    near = _joined(rows, last, keys).withColumn("_at", place).where(F.col("_at") >= F.col("_last"))
+    tied = near.where(F.col("_at") == F.col("_last")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))).where(F.col("_n") > F.col("_go"))
+    return near.where(F.col("_at") > F.col("_last")).select(*rows.columns).unionByName(tied.select(*rows.columns))
+
+
+def value_range(value: Column) -> Column:
+    """The number of a value's range, greater for greater values; NaN is greater than all."""
+    v = value.cast("double")
+    size = F.floor(F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1075.0)), F.lit(1025.0)) * RANGES) + 1076 * RANGES
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def by_value(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, v, c, below, n): each value of a group, how often it is there, how many rows are less, and the rows of the group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("_range", value_range(F.col("v")))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("c").alias("_t"))
+    base = totals.select(
+        *keys, "_range", F.coalesce(F.sum("_t").over(before(Window.partitionBy(*keys).orderBy("_range"))), F.lit(0)).alias("_base"),
+        F.sum("_t").over(Window.partitionBy(*keys)).alias("n"),
+    )
+    own = F.coalesce(F.sum("c").over(before(Window.partitionBy(*keys, "_range").orderBy("v"))), F.lit(0))
+    return _joined(counts, base, [*keys, "_range"]).select(*keys, "v", "c", (F.col("_base") + own).alias("below"), "n")
+
+
+def _at(rank: Column) -> Column:
+    """The value of a rank from 0, over rows of ``by_value``."""
+    return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("c")), F.col("v")))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys, n, the wanted): exact percentiles with interpolation, one row for each group that has a value."""
+    where = {x: (F.col("n") - 1) * F.lit(float(q)) for x, q in wanted.items()}
+    both = [f(p).alias(f"_{s}_{x}") for x, p in where.items() for s, f in (("lo", lambda p: _at(F.floor(p))), ("hi", lambda p: _at(F.ceil(p))))]
+    got = by_value(rows, keys, value).groupBy(*keys).agg(F.max("n").alias("n"), *both)
+    part = lambda x: F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * (where[x] - F.floor(where[x]))
+    return got.select(*keys, "n", *(part(x).alias(x) for x in wanted))
 
 
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    p = lambda q: F.percentile(value, q)
-    return rows.groupBy(*keys).agg(
+    plain = rows.groupBy(*keys).agg(
         F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), F.avg(value).alias("mean_v"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev_v"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"),
+        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev_v"),
     )
+    return _joined(plain, quantiles(rows, keys, value, QUANTILES).drop("n"), keys, "left")
 
 
 def with_mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds n, median and MAD of the group."""
-    one = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
-    near = rows.join(one, keys)
-    two = near.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
-    return near.join(two, keys)
+    """Adds n, median and MAD of the group; the groups' statistics are joined as they are few."""
+    one = quantiles(rows, keys, value, {"median": 0.5})
+    near = _joined(rows, one, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    far = near.select(*keys, F.abs(F.col(value) - F.col("median")).alias("_far"))
+    return _joined(near, quantiles(far, keys, "_far", {"mad": 0.5}).drop("n"), keys, "left")
 
 
 def is_outlier(value: Column, n: Column, median: Column, mad: Column) -> Column:
@@ -65,17 +119,16 @@ def is_outlier(value: Column, n: Column, median: Column, mad: Column) -> Column:
     return (n >= 4) & F.when(mad == 0, value != median).otherwise(z > OUTLIER_Z)
 
 
-def trimmed_mean(rows: DataFrame, keys: list[str], value: str, ties: list[str], share: float = TRIM) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    cut = F.least(F.floor(F.col("_n") * share), F.floor((F.col("_n") - 1) / 2))
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value, *ties))).withColumn("_n", F.count("*").over(w))
-    return ranked.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"), F.count("*").alias("n_used"))
+def trimmed_mean(rows: DataFrame, keys: list[str], value: str, ties: list[str] | None = None, share: float = TRIM) -> DataFrame:
+    """The mean of a group without ``share`` of its rows at each end, and how many rows are in it; which of equal rows go (``ties``) doesn't change it."""
+    cut = F.least(F.floor(F.col("n") * share), F.floor((F.col("n") - 1) / 2))
+    used = F.greatest(F.least(F.col("below") + F.col("c"), F.col("n") - cut) - F.greatest("below", cut), F.lit(0))
+    return by_value(rows, keys, value).groupBy(*keys).agg((F.sum(F.col("v") * used) / F.sum(used)).alias("trimmed_mean"), F.sum(used).alias("n_used"))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:
     """sorted[ceil((n - 1) * p / 100)]: another percentile than the interpolated one."""
-    at = F.ceil((F.size("v") - 1) * percent / 100.0).cast("int")
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v")).select(*keys, F.get("v", at).alias("nearest_rank"))
+    return by_value(rows, keys, value).groupBy(*keys).agg(_at(F.ceil((F.col("n") - 1) * percent / 100.0)).alias("nearest_rank"))
 
 
 def gate(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[str], threshold: float = GATE) -> DataFrame:
@@ -175,21 +228,18 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], st
     return bootstrap_all(rows, keys, value, order, (statistic,), resamples, seed).drop("metric")
 
 
-def report_without_intervals(rows: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:
+def report_without_intervals(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The summary of each group with MAD, outliers, trimmed mean, percentiles without outliers (null where there are none) and warnings.
 
     n_used counts the rows that are no outliers, n_trimmed those of the trimmed mean."""
     out_of = F.coalesce(is_outlier(F.col(value), F.col("n"), F.col("median"), F.col("mad")), F.lit(False))
     flagged = with_mad(rows, keys, value).withColumn("_out", out_of)
-    kept = F.when(~F.col("_out"), F.col(value))
-    some = F.max("_out")
-    mads = flagged.groupBy(*keys).agg(
-        F.max("mad").alias("mad_v"), F.sum(F.col("_out").cast("long")).alias("outlier_count"),
-        F.when(F.count(kept) > 0, F.count(kept)).otherwise(F.count(value)).alias("n_used"),
-        F.when(some, F.percentile(kept, 0.5)).alias("filtered_p50"), F.when(some, F.percentile(kept, 0.95)).alias("filtered_p95"),
-    )
-    trimmed = trimmed_mean(rows, keys, value, ties).withColumnRenamed("n_used", "n_trimmed")
-    out = summary(rows, keys, value).join(mads, keys).join(trimmed, keys)
+    kept = F.count(F.when(~F.col("_out"), F.col(value)))
+    mads = flagged.groupBy(*keys).agg(F.max("mad").alias("mad_v"), F.sum(F.col("_out").cast("long")).alias("outlier_count"), F.when(kept > 0, kept).otherwise(F.count(value)).alias("n_used"))
+    inner = quantiles(flagged.where(~F.col("_out")).select(*keys, value), keys, value, {"filtered_p50": 0.5, "filtered_p95": 0.95}).drop("n")
+    out = _joined(_joined(summary(rows, keys, value), mads, keys), inner, keys, "left")
+    out = out.withColumns({c: F.when(F.col("outlier_count") > 0, F.col(c)) for c in ("filtered_p50", "filtered_p95")})
+    out = _joined(out, trimmed_mean(rows, keys, value).withColumnRenamed("n_used", "n_trimmed"), keys, "left")
     few = F.when(F.col("n") < 10, "n<10").when(F.col("n") < 30, "n<30").otherwise("")
     return out.withColumn("warning", few)
 
@@ -199,7 +249,7 @@ def report(rows: DataFrame, keys: list[str], value: str, ties: list[str], resamp
     limits = bootstrap_all(rows.where(F.col(value).isNotNull()), keys, value, [value, *ties], resamples=resamples)
     at = lambda x, c: F.max(F.when(F.col("metric") == x, F.col(c))).alias(f"{x}_{c}")
     wide = limits.groupBy(*keys).agg(*(at(x, c) for x in STATISTICS for c in ("ci_lo", "ci_hi")))
-    return report_without_intervals(rows, keys, value, ties).join(wide, keys, "left")
+    return _joined(report_without_intervals(rows, keys, value), wide, keys, "left")
 
 
 # ---- telemetry

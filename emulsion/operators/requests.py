@@ -53,22 +53,35 @@ def as_of(left: DataFrame, right: DataFrame, key: str, order: list[str], value:
     return rows.withColumn("matched", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_v", "_side")
 
 
-def running_total(rows: DataFrame, order: list[str], value: str, buckets: int = 64, descending: bool = False) -> DataFrame:
-    """A running sum over one global order without one task for all rows: rows are cut into ranges of the leading order column, the
-    ranges' totals (``buckets`` rows) are accumulated, and each range adds its base."""
+def _range_of(number: Column, cuts: list) -> Column:
+    """How many cuts are less than a number, by halving."""
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(number > cuts[mid], part(mid + 1, hi)).otherwise(part(lo, mid))
+
+    return part(0, len(cuts))
+
+
+def running_total(rows: DataFrame, order: list[str], value: str, buckets: int | None = None, descending: bool = False) -> DataFrame:
+    """A running sum over one global order without one task for all rows: rows are cut into ranges of the leading order column (as many
+    as the session has shuffle partitions), the ranges' totals, one row each, are accumulated, and each range adds its base.  The cuts
+    are approximate percentiles found by a job of its own; where they lie doesn't change the sums.  Rows without a leading column come
+    first.  Rows equal in the leading column share a range."""
     lead = order[0]
+    buckets = buckets or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     number = micros(F.col(lead)) if dict(rows.dtypes)[lead].startswith("timestamp") else F.col(lead)
-    cuts = rows.select(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()[0] or []
-    b = F.lit(0)
-    for c in sorted(set(cuts)):
-        b = b + (number > c).cast("int")
+    cuts = rows.select(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets)).alias("c")).first()[0] or []
+    b = F.when(number.isNull(), F.lit(-1)).otherwise(_range_of(number, sorted(set(cuts))))
     b = -b if descending else b
     cut = rows.withColumn("_b", b)
     totals = cut.groupBy("_b").agg(F.sum(value).alias("_t"))
     base = totals.select(F.col("_b").alias("_b2"), F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     keys = [F.col(c).desc() if descending else F.col(c) for c in order]
     w = Window.partitionBy("_b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cut.withColumn("_own", F.sum(value).over(w)).join(F.broadcast(base), F.col("_b") == F.col("_b2"))  # at most ``buckets`` rows
+    out = cut.withColumn("_own", F.sum(value).over(w)).join(F.broadcast(base), F.col("_b") == F.col("_b2"))  # at most buckets + 1 rows
     return out.withColumn("running_total", F.col("_own") + F.col("_base")).drop("_b", "_b2", "_own", "_base")
 
 

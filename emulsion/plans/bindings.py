@@ -65,14 +65,14 @@ TRIM_SQL = """r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER B
 
 @query(f"WITH {TRIM_SQL} SELECT event_type, round(trimmed_mean, 6) AS trimmed_mean, n_used FROM tm")
 def trimmed_mean(spark, d):
-    return rounded(A.trimmed_mean(t(spark, d, "events"), ["event_type"], "value", ["event_id"]), "trimmed_mean")
+    return rounded(A.trimmed_mean(t(spark, d, "events"), ["event_type"], "value"), "trimmed_mean")
 
 
 @query(f"""WITH {MAD_SQL}, {TRIM_SQL}, g AS (SELECT event_type, {SUMMARY_SQL} FROM events GROUP BY 1), o AS (SELECT event_type, round(max(mad), 6) AS mad_v, CAST(sum(out::int) AS BIGINT) AS outlier_count FROM f GROUP BY 1)
 SELECT g.*, o.mad_v, o.outlier_count, round(tm.trimmed_mean, 6) AS trimmed_mean, tm.n_used, CASE WHEN g.n < 10 THEN 'n<10' WHEN g.n < 30 THEN 'n<30' ELSE '' END AS warning FROM g JOIN o USING (event_type) JOIN tm USING (event_type)""")
 def bench_report(spark, d):
     """The columns of the SQL, where n_used means the rows of the trimmed mean; bench_report_full has the whole report."""
-    out = A.report_without_intervals(t(spark, d, "events"), ["event_type"], "value", ["event_id"])
+    out = A.report_without_intervals(t(spark, d, "events"), ["event_type"], "value")
     out = out.drop("n_used", "filtered_p50", "filtered_p95").withColumnRenamed("n_trimmed", "n_used")
     return rounded(out, "mean_v", "stdev_v", "p50", "p95", "p99", "mad_v", "trimmed_mean")
 
