@@ -70,9 +70,12 @@ def value_range(value: Column) -> Column:
     return F.when(F.isnan(v), F.lit(1 << 40)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
-def by_value(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, v, c, below, n): each value of a group, how often it is there, how many rows are less, and the rows of the group."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("_range", value_range(F.col("v")))
+def by_value(rows: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, v, c, below, n): each value of a group, how often it is there, how many rows are less, and the rows of the group.
+
+    A row stands for ``weight`` rows."""
+    often = F.sum(weight) if weight else F.count("*")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(often.alias("c")).withColumn("_range", value_range(F.col("v")))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy(*keys, "_range").agg(F.sum("c").alias("_t"))
     base = totals.select(
@@ -88,29 +91,48 @@ def _at(rank: Column) -> Column:
     return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("c")), F.col("v")))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """(keys, n, the wanted): exact percentiles with interpolation, one row for each group that has a value."""
+def _picked(wanted: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over rows of ``by_value`` that pick the two neighbours of each percentile, and what is between them."""
     where = {x: (F.col("n") - 1) * F.lit(float(q)) for x, q in wanted.items()}
-    both = [f(p).alias(f"_{s}_{x}") for x, p in where.items() for s, f in (("lo", lambda p: _at(F.floor(p))), ("hi", lambda p: _at(F.ceil(p))))]
-    got = by_value(rows, keys, value).groupBy(*keys).agg(F.max("n").alias("n"), *both)
+    both = [_at(f(p)).alias(f"_{s}_{x}") for x, p in where.items() for s, f in (("lo", F.floor), ("hi", F.ceil))]
     part = lambda x: F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * (where[x] - F.floor(where[x]))
-    return got.select(*keys, "n", *(part(x).alias(x) for x in wanted))
+    return both, [part(x).alias(x) for x in wanted]
 
 
-def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    plain = rows.groupBy(*keys).agg(
+def _quantiles_of(values: DataFrame, keys: list[str], wanted: dict[str, float], *more: Column) -> DataFrame:
+    both, out = _picked(wanted)
+    got = values.groupBy(*keys).agg(F.max("n").alias("n"), *both, *more)
+    return got.select(*(c for c in got.columns if not c.startswith(("_lo_", "_hi_"))), *out)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
+    """(keys, n, the wanted): exact percentiles with interpolation, one row for each group that has a value."""
+    return _quantiles_of(by_value(rows, keys, value, weight), keys, wanted)
+
+
+def _plain(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(
         F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), F.avg(value).alias("mean_v"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev_v"),
     )
-    return _joined(plain, quantiles(rows, keys, value, QUANTILES).drop("n"), keys, "left")
+
+
+def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return _joined(_plain(rows, keys, value), quantiles(rows, keys, value, QUANTILES).drop("n"), keys, "left")
+
+
+def _mads(values: DataFrame, keys: list[str], medians: DataFrame) -> DataFrame:
+    """The MAD of each group from its rows of ``by_value``."""
+    far = _joined(values, medians, keys).select(*keys, "c", F.abs(F.col("v") - F.col("median")).alias("_far"))
+    return quantiles(far, keys, "_far", {"mad": 0.5}, "c").drop("n")
 
 
 def with_mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds n, median and MAD of the group; the groups' statistics are joined as they are few."""
-    one = quantiles(rows, keys, value, {"median": 0.5})
-    near = _joined(rows, one, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    far = near.select(*keys, F.abs(F.col(value) - F.col("median")).alias("_far"))
-    return _joined(near, quantiles(far, keys, "_far", {"mad": 0.5}).drop("n"), keys, "left")
+    values = by_value(rows, keys, value)
+    one = _quantiles_of(values, keys, {"median": 0.5})
+    both = _joined(one, _mads(values, keys, one.drop("n")), keys)
+    return _joined(rows, both, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def is_outlier(value: Column, n: Column, median: Column, mad: Column) -> Column:
@@ -119,11 +141,16 @@ def is_outlier(value: Column, n: Column, median: Column, mad: Column) -> Column:
     return (n >= 4) & F.when(mad == 0, value != median).otherwise(z > OUTLIER_Z)
 
 
-def trimmed_mean(rows: DataFrame, keys: list[str], value: str, ties: list[str] | None = None, share: float = TRIM) -> DataFrame:
-    """The mean of a group without ``share`` of its rows at each end, and how many rows are in it; which of equal rows go (``ties``) doesn't change it."""
+def _trimmed(share: float) -> tuple[Column, Column]:
     cut = F.least(F.floor(F.col("n") * share), F.floor((F.col("n") - 1) / 2))
     used = F.greatest(F.least(F.col("below") + F.col("c"), F.col("n") - cut) - F.greatest("below", cut), F.lit(0))
-    return by_value(rows, keys, value).groupBy(*keys).agg((F.sum(F.col("v") * used) / F.sum(used)).alias("trimmed_mean"), F.sum(used).alias("n_used"))
+    return F.sum(F.col("v") * used) / F.sum(used), F.sum(used)
+
+
+def trimmed_mean(rows: DataFrame, keys: list[str], value: str, ties: list[str] | None = None, share: float = TRIM) -> DataFrame:
+    """The mean of a group without ``share`` of its rows at each end, and how many rows are in it; which of equal rows go (``ties``) doesn't change it."""
+    mean, used = _trimmed(share)
+    return by_value(rows, keys, value).groupBy(*keys).agg(mean.alias("trimmed_mean"), used.alias("n_used"))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:
@@ -232,14 +259,20 @@ def report_without_intervals(rows: DataFrame, keys: list[str], value: str) -> Da
     """The summary of each group with MAD, outliers, trimmed mean, percentiles without outliers (null where there are none) and warnings.
 
     n_used counts the rows that are no outliers, n_trimmed those of the trimmed mean."""
-    out_of = F.coalesce(is_outlier(F.col(value), F.col("n"), F.col("median"), F.col("mad")), F.lit(False))
-    flagged = with_mad(rows, keys, value).withColumn("_out", out_of)
-    kept = F.count(F.when(~F.col("_out"), F.col(value)))
-    mads = flagged.groupBy(*keys).agg(F.max("mad").alias("mad_v"), F.sum(F.col("_out").cast("long")).alias("outlier_count"), F.when(kept > 0, kept).otherwise(F.count(value)).alias("n_used"))
-    inner = quantiles(flagged.where(~F.col("_out")).select(*keys, value), keys, value, {"filtered_p50": 0.5, "filtered_p95": 0.95}).drop("n")
-    out = _joined(_joined(summary(rows, keys, value), mads, keys), inner, keys, "left")
+    values = by_value(rows, keys, value)
+    mean, used = _trimmed(TRIM)
+    ranks = _quantiles_of(values, keys, QUANTILES | {"median": 0.5}, mean.alias("trimmed_mean"), used.alias("n_trimmed"))
+    spread = _joined(ranks.select(*keys, "median"), _mads(values, keys, ranks.select(*keys, "median")), keys)
+    out_of = F.coalesce(is_outlier(F.col("v"), F.col("n"), F.col("median"), F.col("mad")), F.lit(False))
+    flagged = _joined(values, spread, keys).withColumn("_out", out_of)
+    gone, kept = (F.sum(F.when(x, F.col("c")).otherwise(F.lit(0))) for x in (F.col("_out"), ~F.col("_out")))
+    mads = flagged.groupBy(*keys).agg(F.max("mad").alias("mad_v"), gone.alias("outlier_count"), F.when(kept > 0, kept).otherwise(F.sum("c")).alias("n_used"))
+    inner = quantiles(flagged.where(~F.col("_out")).select(*keys, "v", "c"), keys, "v", {"filtered_p50": 0.5, "filtered_p95": 0.95}, "c").drop("n")
+    out = _plain(rows, keys, value)
+    for more in (ranks.drop("n", "median"), mads, inner):
+        out = _joined(out, more, keys, "left")
+    out = out.withColumn("outlier_count", F.coalesce("outlier_count", F.lit(0))).withColumn("n_used", F.coalesce("n_used", F.lit(0)))
     out = out.withColumns({c: F.when(F.col("outlier_count") > 0, F.col(c)) for c in ("filtered_p50", "filtered_p95")})
-    out = _joined(out, trimmed_mean(rows, keys, value).withColumnRenamed("n_used", "n_trimmed"), keys, "left")
     few = F.when(F.col("n") < 10, "n<10").when(F.col("n") < 30, "n<30").otherwise("")
     return out.withColumn("warning", few)
 
