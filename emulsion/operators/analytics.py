@@ -167,9 +167,35 @@ def gate(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[str], th
     return rows.select(*keys, "x.metric", "x.before", "x.after", change.alias("relative_change"), status.alias("status")).where("relative_change is not null")
 
 
-def speedup_vs_cold(groups: DataFrame, keys: list[str], mode: str, cold: str, value: str) -> DataFrame:
-    """Cold median over own median, by the other keys."""
-    base = groups.where(F.col(mode) == cold).groupBy(*keys).agg(F.min(value).alias("_cold"))
+def verdicts(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[str], threshold: float = GATE) -> DataFrame:
+    """``gate`` with intervals: a change within the threshold is inconclusive where the ratio's interval holds 1.
+
+    A metric's limits are its columns ``_ci_lo`` and ``_ci_hi``; without them it is its own interval.  The ratio's interval is the widest
+    of the two, as the runs are independent; a limit of it is null where it would divide by nothing."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+    def lines(rows: DataFrame, prefix: str) -> DataFrame:
+        def line(m: str) -> Column:
+            at = lambda c: finite(F.col(c if c in rows.columns else m).cast("double"))
+            return F.struct(F.lit(m).alias("metric"), at(m).alias(prefix), at(f"{m}_ci_lo").alias(f"{prefix}_lo"), at(f"{m}_ci_hi").alias(f"{prefix}_hi"))
+
+        return rows.select(*keys, F.explode(F.array(*map(line, metrics))).alias("x")).select(*keys, "x.*")
+
+    both = _joined(lines(new, "after"), lines(old, "before"), [*keys, "metric"]).where((F.col("before") > 0) & F.col("after").isNotNull())
+    over = lambda x, y: F.col(x) / F.when(F.col(y) != 0, F.col(y))
+    out = both.withColumns({
+        "absolute_change": F.col("after") - F.col("before"), "ratio": F.col("after") / F.col("before"), "relative_change": (F.col("after") - F.col("before")) / F.col("before"),
+        "ratio_lo": over("after_lo", "before_hi"), "ratio_hi": over("after_hi", "before_lo"),
+    })
+    change = F.col("relative_change")
+    open_ = (F.col("ratio_lo") <= 1) & (F.col("ratio_hi") >= 1)
+    return out.withColumn("status", F.when(change > threshold, "regression").when(change < -threshold, "improvement").when(open_, "inconclusive").otherwise("ok"))
+
+
+def speedup_vs_cold(groups: DataFrame, keys: list[str], mode: str, cold: str | tuple[str, ...], value: str, order: list[str] | None = None) -> DataFrame:
+    """Cold median over own median, by the other keys; of several cold groups the first by ``order`` (the mode) counts."""
+    names = (cold,) if isinstance(cold, str) else cold
+    base = groups.where(F.col(mode).isin(*names)).groupBy(*keys).agg(F.min_by(value, F.struct(*(order or [mode]))).alias("_cold"))
     return groups.join(base, keys, "left").withColumn("speedup_vs_cold", F.col("_cold") / F.when(F.col(value) > 0, F.col(value))).drop("_cold")
 
 

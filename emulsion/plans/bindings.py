@@ -13,6 +13,7 @@ from ..operators import analytics as A
 from ..operators import artifacts as K
 from ..operators import raster as R
 from ..operators import requests as Q
+from ..sources import benchlog as L
 from ..sources import catalog as C
 
 QUERIES: dict = {}
@@ -99,6 +100,23 @@ def baseline_gate(spark, d):
     return rounded(A.gate(by(0), by(1), ["event_type"], ["p50", "p95"]), "before", "after", "relative_change")
 
 
+VERDICT_Q = ", ".join(f"quantile_cont(value, {q}) AS {n}" for n, q in (("p50", 0.5), ("p50_lo", 0.48), ("p50_hi", 0.52), ("p95", 0.95), ("p95_lo", 0.94), ("p95_hi", 0.96)))
+
+
+@query(f"""WITH q AS (SELECT event_type, user_id % 4 AS fixture, event_id % 2 AS side, {VERDICT_Q} FROM events GROUP BY 1, 2, 3),
+ l AS (SELECT event_type, fixture, side, 'p50' AS metric, p50 AS v, p50_lo AS lo, p50_hi AS hi FROM q UNION ALL SELECT event_type, fixture, side, 'p95', p95, p95_lo, p95_hi FROM q),
+ j AS (SELECT a.event_type, a.fixture, a.metric, a.v AS before, b.v AS after, b.v / a.v AS ratio, (b.v - a.v) / a.v AS c, b.lo / a.hi AS rl, b.hi / a.lo AS rh FROM l a JOIN l b ON a.event_type = b.event_type AND a.fixture = b.fixture AND a.metric = b.metric AND a.side = 0 AND b.side = 1 WHERE a.v > 0)
+SELECT event_type, fixture, metric, round(before, 6) AS before, round(after, 6) AS after, round(ratio, 6) AS ratio, round(c, 6) AS relative_change, round(rl, 6) AS ratio_lo, round(rh, 6) AS ratio_hi,
+ CASE WHEN c > 0.05 THEN 'regression' WHEN c < -0.05 THEN 'improvement' WHEN rl <= 1 AND rh >= 1 THEN 'inconclusive' ELSE 'ok' END AS status FROM j""")
+def baseline_verdict(spark, d):
+    """The verdict with intervals; percentiles beside a percentile stand for its limits, so that SQL has them too."""
+    e = t(spark, d, "events").withColumn("fixture", F.col("user_id") % 4)
+    keys, wanted = ["event_type", "fixture"], {"p50": 0.5, "p50_ci_lo": 0.48, "p50_ci_hi": 0.52, "p95": 0.95, "p95_ci_lo": 0.94, "p95_ci_hi": 0.96}
+    by = lambda side: A.quantiles(e.where(F.col("event_id") % 2 == side), keys, "value", wanted)
+    out = A.verdicts(by(0), by(1), keys, ["p50", "p95"])
+    return rounded(out.select(*keys, "metric", "before", "after", "ratio", "relative_change", "ratio_lo", "ratio_hi", "status"), "before", "after", "ratio", "relative_change", "ratio_lo", "ratio_hi")
+
+
 @query("SELECT event_type, (list_sort(list(value)))[CAST(ceil((count(*) - 1) * 95 / 100.0) AS BIGINT) + 1] AS nearest_rank FROM events GROUP BY 1")
 def nearest_rank_p95(spark, d):
     return A.nearest_rank(t(spark, d, "events"), ["event_type"], "value", 95)
@@ -280,6 +298,13 @@ def sample_offsets_64k(spark, d):
     return t(spark, d, "documents").select("doc_id", K.sample_offsets(F.col("n_chars")).alias("offsets"))
 
 
+@query("SELECT doc_id, source || '/' || doc_id || '.txt' AS path, doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS sha256 FROM documents")
+def file_manifest(spark, d):
+    """The manifest of the texts, each taken as a file of its source."""
+    at = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return t(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in L.manifest_columns(at, F.col("text").cast("binary")).items()))
+
+
 @query("SELECT source, count(*) AS entries, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def store_usage(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("entries"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
