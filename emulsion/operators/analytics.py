@@ -1,7 +1,8 @@
 """Benchmark analytics over samples grouped by key columns.
 
 Scale: counts, sums and extremes combine on the map side.  Ranks, and so exact percentiles, trimmed means and MADs, come from counts
-by value: equal values become one row before the shuffle, and a group is cut into ranges of its values, so no task holds a group.
+by value: equal values become one row before the shuffle, and a group is cut into ranges of its values, so no task holds a group
+whose values spread (values within a 1,024th of a doubling share a task).
 Where ranges are cut doesn't depend on the data, so a task that runs again finds the same ones.  Null keys are a group, null values
 count for nothing.  The bootstrap alone is a grouped Python function over one group's values."""
 

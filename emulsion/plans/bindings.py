@@ -96,7 +96,7 @@ def warmup_discard(spark, d):
 SELECT event_type, metric, round(before, 6) AS before, round(after, 6) AS after, round(c, 6) AS relative_change, CASE WHEN c > 0.05 THEN 'regression' WHEN c < -0.05 THEN 'improvement' ELSE 'ok' END AS status FROM j""")
 def baseline_gate(spark, d):
     e = t(spark, d, "events")
-    by = lambda side: e.where(F.col("event_id") % 2 == side).groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+    by = lambda side: A.quantiles(e.where(F.col("event_id") % 2 == side), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).drop("n")
     return rounded(A.gate(by(0), by(1), ["event_type"], ["p50", "p95"]), "before", "after", "relative_change")
 
 
@@ -125,7 +125,8 @@ def nearest_rank_p95(spark, d):
 @query("""WITH g AS (SELECT user_id % 10 AS fixture, event_type AS mode, quantile_cont(value, 0.5) AS p50 FROM events GROUP BY 1, 2), b AS (SELECT fixture, p50 AS cold FROM g WHERE mode = 'view')
 SELECT fixture, mode, round(p50, 6) AS p50, round(cold / p50, 6) AS speedup_vs_cold FROM g LEFT JOIN b USING (fixture)""")
 def speedup_vs_cold(spark, d):
-    g = t(spark, d, "events").groupBy((F.col("user_id") % 10).alias("fixture"), F.col("event_type").alias("mode")).agg(F.percentile("value", 0.5).alias("p50"))
+    e = t(spark, d, "events").select((F.col("user_id") % 10).alias("fixture"), F.col("event_type").alias("mode"), "value")
+    g = A.quantiles(e, ["fixture", "mode"], "value", {"p50": 0.5}).drop("n")
     return rounded(A.speedup_vs_cold(g, ["fixture"], "mode", "view", "p50"), "p50", "speedup_vs_cold")
 
 
