@@ -31,6 +31,8 @@ THRESHOLD = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 CHAR_N = 4
+#: Entries of the sample that a step of the fit works on at a time, in the driver.
+BLOCK_ENTRIES = 1 << 18
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -114,28 +116,54 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
 
 
+def _cut(sizes: np.ndarray, idx: np.ndarray, val: np.ndarray):
+    """Runs of rows as (sizes, idx, val), views of about ``BLOCK_ENTRIES`` entries, which a row has 3 * DIM of at most."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + BLOCK_ENTRIES, "right")) - 1)
+        yield sizes[a:b], idx[ends[a] : ends[b]], val[ends[a] : ends[b]]
+        a = b
+
+
 def fit_rows(labels: np.ndarray, sizes: np.ndarray, idx: np.ndarray, val: np.ndarray) -> Model | None:
-    """Adam on the mean log loss with L2; every fourth row is kept for calibration."""
+    return descend(labels, list(_cut(sizes, idx, val)))
+
+
+def descend(labels: np.ndarray, blocks: list) -> Model | None:
+    """Adam on the mean log loss with L2; every fourth row is kept for calibration.
+
+    The rows come as blocks (sizes, idx, val); what a step needs beside them is as large as one block, as the driver holds it.
+    Sums are taken in the order of the entries, so where blocks are cut doesn't change a bit."""
     if len(labels) < 8 or labels.min() == labels.max():
         return None
-    row = np.repeat(np.arange(len(labels)), sizes)
     train = np.arange(len(labels)) % 4 != 3
     y = labels.astype(np.float64)
     # both classes weigh the same in the fit; the calibration then restores the true rate
     weight = train * np.where(y > 0, 0.5 / max(1, y[train].sum()), 0.5 / max(1, (1 - y[train]).sum()))
     w, m, v = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
     bias = mb = vb = 0.0
-    z = np.zeros(len(y))
+    z, e = np.zeros(len(y)), np.zeros(len(y))
+
+    def logit(sizes, idx, val):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return row, np.bincount(row, w[idx] * val, len(sizes)) + bias
+
     for t in range(1, EPOCHS + 1):
-        z = np.bincount(row, w[idx] * val, len(y)) + bias
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        g, gb = np.bincount(idx, e[row] * val, DIM) + 1e-6 * w, e.sum()
+        a, g = 0, np.zeros(DIM)
+        for sizes, idx, val in blocks:
+            b = a + len(sizes)
+            row, z[a:b] = logit(sizes, idx, val)
+            e[a:b] = weight[a:b] * (1 / (1 + np.exp(-np.clip(z[a:b], -60, 60))) - y[a:b])
+            np.add.at(g, idx.astype(np.intp), e[a:b][row] * val)
+            a = b
+        g, gb = g + 1e-6 * w, e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w -= 0.05 * fix * m / (np.sqrt(v) + 1e-8)
         bias -= 0.05 * fix * mb / (np.sqrt(vb) + 1e-8)
-    z = np.bincount(row, w[idx] * val, len(y)) + bias
+    z = np.concatenate([logit(*x)[1] for x in blocks])
     held = ~train
     slope, offset = _platt(z[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
     return Model(w, float(bias), slope, offset)
@@ -152,9 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     got = data.mapInArrow(_sparse, "label int, idx array<int>, val array<float>").toArrow()
     if not got.num_rows:
         return None
-    idx, val = got["idx"].combine_chunks(), got["val"].combine_chunks()
-    sizes = np.diff(np.concatenate([[0], np.cumsum([len(x) for x in idx])]))
-    return fit_rows(got["label"].to_numpy(), sizes, idx.flatten().to_numpy(), val.flatten().to_numpy())
+    blocks = []
+    for batch in got.to_batches():  # views of what was received: no copy of the sample
+        idx, val = batch["idx"], batch["val"]
+        blocks += _cut(np.diff(idx.offsets.to_numpy()), idx.flatten().to_numpy(), val.flatten().to_numpy())
+    return descend(got["label"].to_numpy(), blocks)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -345,3 +345,23 @@ def test_stage_quality_equals_its_scores(spark):
             want.add(r.doc_id)
     assert {r.doc_id for r in P.quality(spark, docs, at).collect()} == want
     assert _stats.WINDOW == 8
+
+
+def test_regression_needs_little_beside_its_sample(monkeypatch):
+    """The driver holds the sample; whatever a step needs beside it is as large as a block, and blocks don't change a bit."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 2000, 600)
+    idx, val = rng.integers(0, rules.DIM, sizes.sum()).astype(np.int32), rng.random(sizes.sum()).astype(np.float32)
+    y = rng.integers(0, 2, 600).astype(np.int32)
+    monkeypatch.setattr(rules, "EPOCHS", 3)
+    monkeypatch.setattr(rules, "BLOCK_ENTRIES", 1 << 14, raising=False)
+    tracemalloc.start()
+    small = rules.fit_rows(y, sizes, idx, val)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < idx.nbytes + val.nbytes
+    monkeypatch.setattr(rules, "BLOCK_ENTRIES", 1 << 40)
+    whole = rules.fit_rows(y, sizes, idx, val)
+    assert (small.weights == whole.weights).all() and (small.bias, small.slope, small.offset) == (whole.bias, whole.slope, whole.offset)
