@@ -4,7 +4,8 @@ Scale: counts, sums and extremes combine on the map side.  Ranks, and so exact p
 by value: equal values become one row before the shuffle, and a group is cut into ranges of its values, so no task holds a group
 whose values spread (values within a 1,024th of a doubling share a task).
 Where ranges are cut doesn't depend on the data, so a task that runs again finds the same ones.  Null keys are a group, null values
-count for nothing.  The bootstrap alone is a grouped Python function over one group's values."""
+count for nothing.  The bootstrap of a group under ``DEALT`` rows is a grouped Python function over its values; that of a larger one is dealt over
+tasks by resamples, each with the group's counts by value."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import resample as R
+
 OK = ("0", "ok", "success", "")
 OUTLIER_Z, MAD_SCALE, TRIM = 3.5, 0.67448975, 0.10
 GATE = 0.05
@@ -26,6 +29,8 @@ QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 RANGES = 1024
 #: Places drawn at a time; bounds the memory of a task beside the group itself.
 BLOCK_DRAWS = 1 << 18
+#: Groups of at least so many rows have their resamples dealt over tasks.
+DEALT = 4096
 
 
 def samples(rows: DataFrame) -> DataFrame:
@@ -261,7 +266,78 @@ def _intervals(v: list[float], names: list[str], resamples: int, seed: int) -> d
 
 
 def bootstrap_all(rows: DataFrame, keys: list[str], value: str, order: list[str], statistics: tuple[str, ...] = STATISTICS, resamples: int = RESAMPLES, seed: int = BASE_SEED) -> DataFrame:
-    """95 % interval of each statistic of each group, from seeded resamples, the same at any partitioning; a task for each group and seed."""
+    """95 % interval of each statistic of each group, from seeded resamples, the same at any partitioning.
+
+    Groups of at least ``DEALT`` rows, all finite numbers and ordered by value, are dealt over tasks; the others have a task for each group and seed."""
+    if order[0] != value or resamples <= 0:
+        return _grouped_bootstrap(rows, keys, value, order, statistics, resamples, seed)
+    v = F.col(value).cast("double")
+    sound = F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    known = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.every(sound).alias("_sound"))
+    dealt = F.col("_sound") & (F.col("_n") >= DEALT)
+    most = known.agg(F.max(F.when(dealt, F.col("_n"))), F.max(F.when(~dealt, F.col("_n")))).head()
+    parts = []
+    if most[0] is None or most[1] is not None:
+        some = rows if most[0] is None else _joined(rows, known.where(~dealt).select(*keys), keys)
+        parts.append(_grouped_bootstrap(some, keys, value, order, statistics, resamples, seed))
+    if most[0] is not None:
+        some = rows if most[1] is None else _joined(rows, known.where(dealt).select(*keys), keys)
+        parts.append(_dealt_bootstrap(some, known.where(dealt), keys, value, statistics, resamples, seed))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _dealt_bootstrap(rows: DataFrame, known: DataFrame, keys: list[str], value: str, statistics: tuple[str, ...], resamples: int, seed: int) -> DataFrame:
+    """The intervals of large groups: what each stretch of the generators' output holds is counted, then a task has the resamples that begin in some stretches."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sizes = sorted({len(x) for x in statistics})
+    fields = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
+
+    def count(frames):
+        import pandas as pd
+
+        for f in frames:
+            for size, width, k, ns in zip(f["_size"], f["_width"], f["_k"], f["_ns"], strict=True):
+                got = R.counted(seed + int(size), int(width), int(k), [int(n) for n in ns], R.jumps(int(width), int(k)))
+                yield pd.DataFrame({"_n": ns, "_size": size, "_k": k, "_own": got})
+
+    def draw(frames):
+        import pandas as pd
+
+        for f in frames:
+            for i, r in enumerate(f.itertuples(index=False, name=None)):
+                n, v, c, size, k, own, before = r[len(keys) :]
+                width, ends = int(n).bit_length(), np.cumsum(c)
+                some = [x for x in statistics if len(x) == size]
+                takers = [R.Means(v, ends, width)] if "mean" in some else []
+                takers += [R.Ranks(v, ends, width, {x: QUANTILES[x] for x in some if x in QUANTILES})] if set(some) & set(QUANTILES) else []
+                for taker in takers:
+                    got = [x for _, x in R.estimates(taker, seed + int(size), int(n), int(k), int(before), int(own), resamples, R.jumps(width, int(k)))]
+                    for x in got[0] if got else ():
+                        yield pd.DataFrame({q: [f[q].iloc[i]] * len(got) for q in keys} | {"metric": x, "n": n, "_estimate": [g[x] for g in got]})
+
+    def limits(pdf):
+        got = pdf["_estimate"].tolist()
+        if len(got) != resamples:
+            raise RuntimeError(f"{len(got)} of {resamples} resamples")
+        return pdf.iloc[:1].drop(columns="_estimate").assign(ci_lo=_quantile(got, 0.025), ci_hi=_quantile(got, 0.975))
+
+    last = F.element_at(F.array(*(F.lit(R.stretches((1 << w) - 1, resamples) - 1) for w in range(1, 63))), F.length(F.bin("_n")))
+    each = known.select("_n").distinct().select("_n", F.length(F.bin("_n")).alias("_width"), F.explode(F.array(*map(F.lit, sizes))).alias("_size"))
+    each = each.withColumn("_k", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    shared = each.groupBy("_size", "_width", "_k").agg(F.collect_list("_n").alias("_ns")).repartition(tasks)
+    own = shared.mapInPandas(count, "_n long, _size int, _k int, _own long")
+    before = F.coalesce(F.sum("_own").over(Window.partitionBy("_n", "_size").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumn("_before", before)
+    counts = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    values = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_all")).select(*keys, "_n", F.col("_all._v").alias("_v"), F.col("_all._c").alias("_c"))
+    work = values.join(own, "_n").select(*keys, "_n", "_v", "_c", "_size", "_k", "_own", "_before").repartition(tasks)
+    got = work.mapInPandas(draw, f"{fields}, metric string, n long, _estimate double")
+    return got.groupBy(*keys, "metric").applyInPandas(limits, f"{fields}, metric string, n long, ci_lo double, ci_hi double")
+
+
+def _grouped_bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], statistics: tuple[str, ...], resamples: int, seed: int) -> DataFrame:
+    """The intervals of groups, each group's values in one task."""
     sizes = sorted({len(x) for x in statistics})
     fields = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
     kept = list(dict.fromkeys([*keys, value, *order]))
