@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import groupby, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ RANGES = 1024
 BLOCK_DRAWS = 1 << 18
 #: Groups of at least so many rows have their resamples dealt over tasks.
 DEALT = 4096
+#: Groups for which a piece of the generator's output is drawn once.
+TOGETHER = 16
 
 
 def samples(rows: DataFrame) -> DataFrame:
@@ -289,7 +292,7 @@ def bootstrap_all(rows: DataFrame, keys: list[str], value: str, order: list[str]
 def _dealt_bootstrap(rows: DataFrame, known: DataFrame, keys: list[str], value: str, statistics: tuple[str, ...], resamples: int, seed: int) -> DataFrame:
     """The intervals of large groups: what each stretch of the generators' output holds is counted, then a task has the resamples that begin in some stretches."""
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     sizes = sorted({len(x) for x in statistics})
     fields = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
 
@@ -304,17 +307,24 @@ def _dealt_bootstrap(rows: DataFrame, known: DataFrame, keys: list[str], value:
     def draw(frames):
         import pandas as pd
 
-        for f in frames:
-            for i, r in enumerate(f.itertuples(index=False, name=None)):
-                n, v, c, size, k, own, before = r[len(keys) :]
-                width, ends = int(n).bit_length(), np.cumsum(c)
-                some = [x for x in statistics if len(x) == size]
-                takers = [R.Means(v, ends, width)] if "mean" in some else []
-                takers += [R.Ranks(v, ends, width, {x: QUANTILES[x] for x in some if x in QUANTILES})] if set(some) & set(QUANTILES) else []
-                for taker in takers:
-                    got = [x for _, x in R.estimates(taker, seed + int(size), int(n), int(k), int(before), int(own), resamples, R.jumps(width, int(k)))]
-                    for x in got[0] if got else ():
-                        yield pd.DataFrame({q: [f[q].iloc[i]] * len(got) for q in keys} | {"metric": x, "n": n, "_estimate": [g[x] for g in got]})
+        rows = (r for f in frames for r in f.itertuples(index=False, name=None))
+        for (size, width, k), group in groupby(rows, lambda r: tuple(map(int, r[:3]))):
+            some = [x for x in statistics if len(x) == size]
+            quantiles = {x: QUANTILES[x] for x in some if x in QUANTILES}
+            while part := list(islice(group, TOGETHER)):
+                walks, of = [], []
+                for *key, n, v, c, own, before in (r[3:] for r in part):
+                    ends = np.cumsum(c)
+                    takers = [R.Means(v, ends, width)] if "mean" in some else []
+                    takers += [R.Ranks(v, ends, width, quantiles)] if quantiles else []
+                    walks += [R.walk(x, int(n), int(before), int(own), resamples) for x in takers]
+                    of += [(*key, n)] * len(takers)
+                got: list[list[dict]] = [[] for _ in walks]
+                for i, _, x in R.together(walks, seed + size, width, k, R.jumps(width, k)):
+                    got[i].append(x)
+                for (*key, n), mine in zip(of, got, strict=True):
+                    for x in mine[0] if mine else ():
+                        yield pd.DataFrame({q: [y] * len(mine) for q, y in zip(keys, key, strict=True)} | {"metric": x, "n": n, "_estimate": [m[x] for m in mine]})
 
     def limits(pdf):
         got = pdf["_estimate"].tolist()
@@ -331,7 +341,8 @@ def _dealt_bootstrap(rows: DataFrame, known: DataFrame, keys: list[str], value:
     own = own.withColumn("_before", before)
     counts = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     values = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_all")).select(*keys, "_n", F.col("_all._v").alias("_v"), F.col("_all._c").alias("_c"))
-    work = values.join(own, "_n").select(*keys, "_n", "_v", "_c", "_size", "_k", "_own", "_before").repartition(tasks)
+    place = ["_size", "_width", "_k"]
+    work = values.join(own, "_n").select("_size", F.length(F.bin("_n")).alias("_width"), "_k", *keys, "_n", "_v", "_c", "_own", "_before").repartition(tasks, *place).sortWithinPartitions(*place)
     got = work.mapInPandas(draw, f"{fields}, metric string, n long, _estimate double")
     return got.groupBy(*keys, "metric").applyInPandas(limits, f"{fields}, metric string, n long, ci_lo double, ci_hi double")
 

@@ -19,8 +19,10 @@ import numpy as np
 DEGREE, STATE = 19937, 624
 #: Outputs taken at a time, so that they stay in a core's cache.
 PIECE = 1 << 16
-#: A stretch has 2^STRETCH outputs, or those of about 128 resamples where that is more.
-STRETCH = 26
+#: Pieces drawn at once, 4 MB.
+PIECES = 16
+#: A stretch has 2^STRETCH outputs, or those of about 64 resamples where that is more.
+STRETCH = 23
 #: Ranks are looked for within so many standard deviations; beyond, the resample is drawn again and sorted.
 SPREAD = 8.0
 #: Up to this width the number of each place's value is held, 2 or 4 bytes each; beyond, it is searched for.
@@ -90,7 +92,7 @@ def jumped(key: np.ndarray, by: int) -> np.ndarray:
 
 
 def stretch(width: int) -> int:
-    return max(STRETCH, width + 7)
+    return max(STRETCH, width + 6)
 
 
 def stretches(n: int, resamples: int) -> int:
@@ -198,26 +200,27 @@ class Ranks:
         state, skip = self.again
         draws, got, left = np.random.RandomState(np.random.MT19937()), [], self.n
         draws.set_state(state)
+        _raw(draws, skip)
         while left:
-            x = (_raw(draws, PIECE) >> np.uint32(32 - self.width))[skip:]
-            skip, x = 0, x[x < self.n][:left]
+            x = _raw(draws, PIECE) >> np.uint32(32 - self.width)
+            x = x[x < self.n][:left]
             got.append(x)
             left -= len(x)
         return np.sort(np.concatenate(got))
 
 
-def estimates(taker, seed: int, n: int, k: int, before: int, own: int, resamples: int, by: list[int]):
-    """(number, estimates) of each resample that begins in stretch ``k``, before which ``before`` places were drawn and which has ``own``."""
-    width = n.bit_length()
-    first, last = -(-before // n), min(resamples, -(-(before + own) // n))
-    if first >= last:
-        return
-    draws, skip = begun(seed, width, k, by), first * n - before
-    number, left = first, 0
+def walk(taker, n: int, before: int, own: int, resamples: int):
+    """Takes (a state, outputs between it and the piece, outputs) of one piece of a stretch after the other, ``before`` which places were drawn and which has ``own``.
+
+    Gives the (number, estimates) that each piece ends, of the resamples that begin in the stretch."""
+    number, last = -(-before // n), min(resamples, -(-(before + own) // n))
+    done: list[tuple[int, dict[str, float]]] = []
+    if number >= last:
+        return done
+    skip, left = number * n - before, 0
     while True:
-        state = draws.get_state(legacy=False)
-        x, at = _raw(draws, PIECE) >> np.uint32(32 - width), 0
-        good = None
+        state, passed, x = yield done
+        done, at, good = [], 0, None
         there = int(np.count_nonzero(x < n))
         while True:
             need = skip or left
@@ -233,10 +236,33 @@ def estimates(taker, seed: int, n: int, k: int, before: int, own: int, resamples
                 stop = int(good[len(good) - there + need - 1]) + 1
                 if not skip:
                     taker.add(x[at:stop])
-                    yield number, taker.end()
+                    done.append((number, taker.end()))
                     number += 1
                     if number == last:
-                        return
+                        return done
                 at, there, skip, left = stop, there - need, 0, 0
-            taker.begin((state, at))
+            taker.begin((state, passed + at))
             left = n
+
+
+def together(walks: list, seed: int, width: int, k: int, by: list[int]):
+    """(which walk, number, estimates), with each piece of the stretch drawn once for all walks."""
+    live, draws = {}, None
+    for i, w in enumerate(walks):
+        if next(w, None) is not None:
+            live[i] = w
+    while live:
+        draws = draws or begun(seed, width, k, by)
+        state = draws.get_state(legacy=False)
+        x = _raw(draws, PIECES * PIECE) >> np.uint32(32 - width)
+        for i in list(live):  # several pieces for one walk before the next, whose tables then come into the cache
+            for at in range(0, len(x), PIECE):
+                try:
+                    got = live[i].send((state, at, x[at : at + PIECE]))
+                except StopIteration as end:
+                    got = end.value
+                    del live[i]
+                for number, of in got:
+                    yield i, number, of
+                if i not in live:
+                    break

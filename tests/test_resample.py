@@ -26,7 +26,7 @@ def in_stretches(v, resamples, seed):
         own = [R.counted(seed + size, width, k, [n], R.jumps(width, k))[0] for k in range(last)]
         got = {}
         for k in range(last):
-            for i, x in R.estimates(make(), seed + size, n, k, sum(own[:k]), own[k], resamples, R.jumps(width, k)):
+            for _, i, x in R.together([R.walk(make(), n, sum(own[:k]), own[k], resamples)], seed + size, width, k, R.jumps(width, k)):
                 assert i not in got
                 got[i] = x
         assert sorted(got) == list(range(resamples))
