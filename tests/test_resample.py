@@ -63,3 +63,15 @@ def test_a_large_group_is_never_one_task(spark, monkeypatch):
     rows = spark.range(20_000).select(F.lit("a").alias("k"), "id", F.rand(1).alias("v"))
     plan = A.bootstrap_all(rows, ["k"], "v", ["v", "id"], resamples=10)._jdf.queryExecution().toString()
     assert "mapinpandas" in plan.lower()
+
+
+def test_groups_of_a_width_share_the_output(monkeypatch):
+    monkeypatch.setattr(R, "stretch", lambda width: 18)
+    monkeypatch.setattr(R, "SPREAD", 0.02)
+    groups = [np.arange(n) / 8 for n in (5000, 4500)]
+    own = R.counted(9, 13, 0, [5000, 4500], [])
+    walks = lambda: [R.walk(R.Ranks(v, np.arange(len(v)) + 1, 13, A.QUANTILES), len(v), 0, k, 1000) for v, k in zip(groups, own, strict=True)]
+    both = list(R.together(walks(), 9, 13, 0, []))
+    for i in (0, 1):
+        alone = [(number, x) for _, number, x in R.together([walks()[i]], 9, 13, 0, [])]
+        assert len(alone) == -(-own[i] // len(groups[i])) and alone == [(number, x) for j, number, x in both if j == i]
